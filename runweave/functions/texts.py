@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space that trimming removes (as Python's strip does for the characters that occur in exports).
@@ -29,3 +29,14 @@ def host_key(c: Column) -> Column:
 
 def is_blank(c: Column) -> Column:
     return c.isNull() | (strip(c) == "")
+
+
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with the columns, computed once each.
+
+    Filters on computed columns are pushed through projections, which repeats
+    the expressions; a long chain of steps then grows without bound. A
+    generator that makes one row of one is not looked through, and it stays
+    within generated code.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
