@@ -5,11 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runweave.llm import leakage, tokens
+from runweave.llm import dedup, leakage, tokens
 from runweave.session import table
 
 
+def _duplicates(spark: SparkSession, d: str) -> DataFrame:
+    history = table(spark, d, "job_runs").select("job_name", "retry_count", "machine", "start_time")
+    batches = table(spark, d, "run_batches").select("batch_row_id", "import_id", "job_name", "retry_count", "machine", "start_time")
+    return dedup.duplicates(batches, dedup.pivot_table(history))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Batch rows that report a run already known."""
+    return _duplicates(spark, d).select("batch_row_id")
+
+
+def p6_import_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """n_rows_duplicate of each import that has any."""
+    return _duplicates(spark, d).groupBy("import_id").agg(F.count("*").alias("n_rows_duplicate"))
+
+
+_P6 = """
+WITH k AS (SELECT lower(trim(job_name)) AS job, coalesce(retry_count, 0) AS attempt, split_part(lower(trim(coalesce(machine, ''))), '.', 1) AS host,
+    epoch_us(start_time) AS t, -1 AS import_id, -1 AS id FROM job_runs WHERE start_time IS NOT NULL
+  UNION ALL SELECT lower(trim(job_name)), coalesce(retry_count, 0), split_part(lower(trim(coalesce(machine, ''))), '.', 1), epoch_us(start_time), import_id, batch_row_id
+    FROM run_batches WHERE start_time IS NOT NULL),
+f AS (SELECT DISTINCT b.id, b.import_id FROM k b JOIN k a ON a.job = b.job AND a.attempt = b.attempt AND a.t // 5000000 BETWEEN b.t // 5000000 - 1 AND b.t // 5000000 + 1
+  WHERE b.id >= 0 AND abs(a.t - b.t) <= 5000000 AND (a.host = b.host OR a.host = '' OR b.host = '')
+    AND (a.import_id < b.import_id OR (a.import_id = b.import_id AND a.id < b.id)))
+"""
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return tokens.encode_corpus(table(spark, d, "documents"), "doc_id", "text")
@@ -31,12 +59,17 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p6_found": p6_found,
+    "p6_import_duplicates": p6_import_duplicates,
     "p8_ids": p8_ids,
     "p8_token_counts": p8_token_counts,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p6_found": _P6 + "SELECT id AS batch_row_id FROM f",
+    "p6_import_duplicates": _P6 + "SELECT import_id, count(*) AS n_rows_duplicate FROM f GROUP BY import_id",
+}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
