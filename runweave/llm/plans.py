@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import dedup, leakage, tokens
+from runweave.llm import dedup, leakage, mojibake, tokens
 from runweave.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stanzas that hold text decoded with a wrong encoding."""
+    return p5_restored(spark, d).select("file_id", "seq")
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    """The same stanzas with the restored text and the chains that led to it."""
+    return mojibake.restored(table(spark, d, "ujo_jil_stanza"), ["file_id", "seq"], "raw_text")
+
+
 def _duplicates(spark: SparkSession, d: str) -> DataFrame:
     history = table(spark, d, "job_runs").select("job_name", "retry_count", "machine", "start_time")
     batches = table(spark, d, "run_batches").select("batch_row_id", "import_id", "job_name", "retry_count", "machine", "start_time")
@@ -59,6 +69,8 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p5_found": p5_found,
+    "p5_restored": p5_restored,
     "p6_found": p6_found,
     "p6_import_duplicates": p6_import_duplicates,
     "p8_ids": p8_ids,
