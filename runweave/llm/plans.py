@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runweave.llm import dedup, leakage, mojibake, tokens
+from runweave.llm import dedup, leakage, mojibake, quality, tokens
 from runweave.session import table
 
 
@@ -68,6 +68,16 @@ def p9_clean(spark: SparkSession, d: str) -> DataFrame:
     return leakage.clean(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that are not running prose."""
+    return quality.not_prose(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Text statistics of every document with percentiles and robust z-scores by language."""
+    return quality.statistics(table(spark, d, "documents"), "doc_id", "text", "lang")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_found": p5_found,
     "p5_restored": p5_restored,
@@ -77,6 +87,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_token_counts": p8_token_counts,
     "p9_found": p9_found,
     "p9_clean": p9_clean,
+    "p10_found": p10_found,
+    "p10_statistics": p10_statistics,
 }
 SQL: dict[str, str] = {
     "p6_found": _P6 + "SELECT id AS batch_row_id FROM f",
