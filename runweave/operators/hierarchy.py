@@ -38,43 +38,36 @@ def edges(df: DataFrame, child: Column, parent: Column) -> DataFrame:
     are left out. Other columns of df are dropped.
     """
     rows = df.select(name_key(child).alias("node"), child.alias("name"), name_key(parent).alias("parent")).where("node is not null")
-    named = rows.groupBy("node").agg(F.min("name").alias("name"))
-    real = rows.where("parent is not null").select("node", "parent").join(named.select(F.col("node").alias("parent")), "parent", "left_semi")
-    real = real.groupBy("node").agg(F.min("parent").alias("parent"))
-    return named.join(real, "node", "left")
+    rows = rows.groupBy("node").agg(F.min("name").alias("name"), F.min("parent").alias("parent"))
+    real = rows.select(F.col("node").alias("parent"), F.lit(True).alias("_real"))
+    return rows.join(real, "parent", "left").select("node", "name", F.when(F.col("_real"), F.col("parent")).alias("parent"))
 
 
 def components(tree: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, parent, component, depth): depth is the distance from the root, NULL below or on a cycle.
+    """(node, name, parent, component, depth): depth is the distance from the root, NULL below or on a cycle.
 
-    component is the root's node, or the least node of the cycle.
+    component is the root's node, or the least node of the cycle. tree is read
+    several times and should be cut.
     """
-    spark_rows = tree.select("node", "parent")
-    state = cut(
-        spark_rows.select(
-            "node", "parent", F.coalesce("parent", "node").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-            F.col("parent").isNull().alias("done"), F.coalesce("parent", "node").alias("least"),
-        )
+    state = tree.select(
+        "node", "name", "parent", F.coalesce("parent", "node").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"),
+        F.col("parent").isNull().alias("done"), F.coalesce("parent", "node").alias("least"),
     )
-    left, seen = state.where("not done").count(), None
-    rounds = 0
-    while left and left != seen and rounds < max_rounds:
-        state = cut(_doubled(state))
-        seen, left, rounds = left, state.where("not done").count(), rounds + 1
-    finished = state.where("done").select("node", "parent", F.col("at").alias("component"), F.col("hops").alias("depth"))
+    left, seen, rounds = None, None, 0
+    while left != 0 and (left is None or left != seen) and rounds < max_rounds:
+        # two steps a round: pointers reach four times as far
+        state = cut(_doubled(_doubled(state)))
+        seen, left, rounds = left, state.where("not done").count(), rounds + 2
+    finished = state.where("done").select("node", "name", "parent", F.col("at").alias("component"), F.col("hops").alias("depth"))
     if not left:
         return finished
-    # the rest leads into cycles: look on until every node has gone round its cycle, then name it
+    # the rest leads into cycles: look on until every node has gone into its cycle and once round it
     loop = state.where("not done")
     while 2**rounds < 2 * left:
-        loop, rounds = cut(_doubled(loop)), rounds + 1
-    on_cycle = loop.select("at").distinct().withColumnRenamed("at", "node")
-    ring = cut(on_cycle.join(loop.select("node", "parent"), "node").select("node", F.col("parent").alias("at"), F.lit(1).cast("long").alias("hops"), F.lit(False).alias("done"), F.least("node", "parent").alias("least")))
-    ring_size, span = ring.count(), 1
-    while span < ring_size:
-        ring, span = cut(_doubled(ring)), span * 2
-    named = ring.select(F.col("node").alias("at"), F.col("least").alias("component"))
-    cyclic = loop.join(named, "at").select("node", "parent", "component", F.lit(None).cast("long").alias("depth"))
+        loop, rounds = cut(_doubled(_doubled(loop))), rounds + 2
+    # every pointer now stands on a cycle, and a node of a cycle has seen all of it
+    named = loop.select("at").distinct().join(loop.select(F.col("node").alias("at"), F.col("least").alias("component")), "at")
+    cyclic = loop.join(named, "at").select("node", "name", "parent", "component", F.lit(None).cast("long").alias("depth"))
     return finished.unionByName(cyclic)
 
 
@@ -134,30 +127,36 @@ def _walk(nodes: list[str], parents: list[str | None]) -> Iterator[tuple[str, st
 
 
 def _walker(rows_a_batch: int = 20_000):
-    schema = pa.schema([("ancestor", pa.string()), ("node", pa.string()), ("distance", pa.int32())])
+    schema = pa.schema([("ancestor", pa.string()), ("node", pa.string()), ("distance", pa.int32()), ("ancestor_name", pa.string()), ("name", pa.string())])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[tuple[str, str, int]]:
-            name, nodes, parents = None, [], []
+        def found() -> Iterator[tuple]:
+            component, rows = None, []
             for b in batches:
-                for c, n, p in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                    if c != name and nodes:
-                        yield from _walk(nodes, parents)
-                        nodes, parents = [], []
-                    name = c
-                    nodes.append(n)
-                    parents.append(p)
-            if nodes:
-                yield from _walk(nodes, parents)
-
-        out: list[tuple[str, str, int]] = []
+                for c, *row in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                    if c != component and rows:
+                        yield from named(rows)
+                        rows = []
+                    component = c
+                    rows.append(row)
+            if rows:
+                yield from named(rows)
+
+        def named(rows: list) -> Iterator[tuple]:
+            nodes, parents, names = zip(*rows, strict=True)
+            name = dict(zip(nodes, names, strict=True))
+            for a, n, d in _walk(list(nodes), list(parents)):
+                yield a, n, d, name[a], name[n]
+
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         for row in found():
             out.append(row)
             if len(out) >= rows_a_batch:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("ancestor", pa.string()), ("node", pa.string()), ("distance", pa.int64())])).cast(schema)
+                yield batch()
                 out.clear()
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], schema=pa.schema([("ancestor", pa.string()), ("node", pa.string()), ("distance", pa.int64())])).cast(schema)
+            yield batch()
 
     return walk
 
@@ -191,32 +190,28 @@ def _by_doubling(large: DataFrame) -> DataFrame:
 
 
 def ancestors(tree: DataFrame, parts: DataFrame | None = None, co_locate: int = CO_LOCATE) -> DataFrame:
-    """(ancestor, node, distance): each node with each node above it, at the smallest distance.
+    """(ancestor, node, distance, ancestor_name, name): each node with each node above it, at the smallest distance.
 
     A node on a cycle has itself as an ancestor at the cycle's length. Roots
     have no rows as node. An empty table gives no rows.
     """
-    parts = cut(components(tree)) if parts is None else parts
+    parts = components(tree) if parts is None else parts
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
-    sized = parts.join(sizes.where("n > 1 or component is null"), "component").unionByName(
-        # a node that is its own parent is a cycle of one
-        parts.where("parent = node").join(sizes.where("n = 1"), "component")
-    )
-    small = sized.where(F.col("n") <= co_locate).select("component", "node", "parent")
-    walked = small.repartition("component").sortWithinPartitions("component").mapInArrow(_walker(), "ancestor string, node string, distance int")
-    large = sized.where(F.col("n") > co_locate).drop("n")
-    if large.isEmpty():
-        return walked
-    return walked.unionByName(_by_doubling(large).withColumn("distance", F.col("distance").cast("int")))
+    largest = sizes.agg(F.max("n")).head()[0] or 0
+    kind = "ancestor string, node string, distance int, ancestor_name string, name string"
+    walked = lambda df: df.select("component", "node", "parent", "name").repartition("component").sortWithinPartitions("component").mapInArrow(_walker(), kind)
+    if largest <= co_locate:
+        return walked(parts)
+    sized = parts.join(sizes, "component")
+    names = tree.select("node", "name")
+    large = _by_doubling(sized.where(F.col("n") > co_locate).drop("n", "name")).withColumn("distance", F.col("distance").cast("int"))
+    large = large.join(names, "node").join(names.select(F.col("node").alias("ancestor"), F.col("name").alias("ancestor_name")), "ancestor")
+    return walked(sized.where(F.col("n") <= co_locate)).unionByName(large)
 
 
 def named_ancestors(df: DataFrame, child: Column, parent: Column, co_locate: int = CO_LOCATE) -> DataFrame:
-    """ancestors() with the names as they stand in the nodes' own rows: ancestor_name, name, distance."""
-    tree = cut(edges(df, child, parent))
-    pairs = ancestors(tree, co_locate=co_locate)
-    names = tree.select("node", "name")
-    above = names.select(F.col("node").alias("ancestor"), F.col("name").alias("ancestor_name"))
-    return pairs.join(names, "node").join(above, "ancestor").select("ancestor_name", "name", "distance")
+    """ancestors() by the names as they stand in the nodes' own rows: ancestor_name, name, distance."""
+    return ancestors(cut(edges(df, child, parent)), co_locate=co_locate).select("ancestor_name", "name", "distance")
 
 
 def paths(df: DataFrame, child: Column, parent: Column, separator: str = "/") -> DataFrame:
@@ -227,15 +222,13 @@ def paths(df: DataFrame, child: Column, parent: Column, separator: str = "/") ->
     NULL.
     """
     tree = cut(edges(df, child, parent))
-    parts = cut(components(tree))
-    names = tree.select("node", "name")
-    above = names.select(F.col("node").alias("ancestor"), F.col("name").alias("ancestor_name"))
-    pairs = ancestors(tree, parts).join(above, "ancestor")
+    parts = components(tree)
+    pairs = ancestors(tree, parts)
     chain = pairs.groupBy("node").agg(
         F.sort_array(F.collect_list(F.when(F.col("ancestor") != F.col("node"), F.struct((-F.col("distance")).alias("d"), "ancestor_name"))), True).alias("chain"),
         F.max(F.col("ancestor") == F.col("node")).alias("on_cycle"),
     )
-    out = names.join(parts.select("node", "depth"), "node").join(chain, "node", "left")
+    out = parts.select("node", "name", "depth").join(chain, "node", "left")
     steps = F.coalesce(F.transform("chain", lambda x: x["ancestor_name"]), F.array().cast("array<string>"))
     return out.select(
         "name",
