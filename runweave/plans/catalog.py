@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.plans import problems
+from runweave.plans import aggregates, analytics, problems, selections  # noqa: F401
+from runweave.plans.registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return problems.p7_periods(spark, d)
+    return aggregates.operational_risk(spark, d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**problems.QUERIES}
+    return {**problems.QUERIES, **QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.SQL}
+    return {**problems.SQL, **SQL}
