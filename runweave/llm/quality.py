@@ -217,11 +217,14 @@ def not_prose(docs: DataFrame, key: str, text: str, lang: str, tails: dict = TAI
 def statistics(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(key, lang, statistics, and of each its percentile and robust z-score within the language) of every text that isn't NULL."""
     rows = cut(_measured(docs, key, text, lang, False).withColumn("n_words", F.col("n_words").cast("double")))
-    columns = {f"k_{s}": F.col(s) for s in STATS} | {f"q_{s}": _quantiles(s) for s in STATS}
+    grid = F.array(*[F.lit(i / 100) for i in range(101)])
+    columns = {f"k_{s}": F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, grid)) for s in STATS}
+    columns |= {f"q_{s}": _quantiles(s) for s in STATS}
     scored = _with_sketches(rows, list(STATS), columns, LEAST_BLOCKS)
     out = [F.col("key").alias(key), F.when(F.col("lang") != "*", F.col("lang")).alias("lang")]
     for s in STATS:
         q = F.col(f"q_{s}")
         scale = F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-3))
-        out += [F.col(s), F.kll_sketch_get_rank_double(f"k_{s}", F.col(s)).alias(f"{s}_percentile"), ((F.col(s) - q[1]) / scale).alias(f"{s}_z")]
+        below = F.size(F.filter(f"k_{s}", lambda x, s=s: x <= F.col(s)))  # of the 101 percentiles
+        out += [F.col(s), F.greatest(below - 1, F.lit(0)).alias(f"{s}_percentile"), ((F.col(s) - q[1]) / scale).alias(f"{s}_z")]
     return scored.select(*out)
