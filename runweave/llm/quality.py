@@ -225,6 +225,7 @@ def statistics(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     for s in STATS:
         q = F.col(f"q_{s}")
         scale = F.greatest((q[2] - q[0]) / 1.349, F.lit(1e-3))
-        below = F.size(F.filter(f"k_{s}", lambda x, s=s: x <= F.col(s)))  # of the 101 percentiles
+        value = F.col(s)
+        below = F.size(F.filter(f"k_{s}", lambda x: x <= value))  # noqa: B023  # of the 101 percentiles
         out += [F.col(s), F.greatest(below - 1, F.lit(0)).alias(f"{s}_percentile"), ((F.col(s) - q[1]) / scale).alias(f"{s}_z")]
     return scored.select(*out)
