@@ -14,6 +14,7 @@ shared checkpoint folder, as they are needed for the sketches and for the scores
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -57,7 +58,7 @@ TAILS = {
     "word_length": ("high", 5.0, 0.7),
     "marker_share": ("high", 4.0, 0.1),
     "top_pair_share": ("high", 5.0, 0.02),
-    "words_a_part": ("low", 1.7, 1.6),
+    "log_words_a_part": ("low", 2.3, 0.37),
 }
 #: Statistics of documents.
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
@@ -132,7 +133,7 @@ class Measure:
             None if cjk else _share(sum(map(len, words)), n),
             _share(sum(bool(_MARKER.match(x)) for x in lines), len(lines)),
             _share(max(pairs.values()), n - 1) if n >= 12 else None,
-            n / parts if parts >= 5 and not cjk else None,
+            math.log(max(n, 1) / parts) if parts >= 5 and not cjk else None,
         )
 
 
