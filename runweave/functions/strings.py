@@ -61,7 +61,7 @@ def size_in_bytes(text: Column) -> Column:
 
 def listed(text: Column) -> Column:
     """Parts of a comma list, trimmed, empty ones dropped; empty of NULL."""
-    parts = F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.coalesce(parts, F.array().cast("array<string>"))
 
 
