@@ -177,3 +177,9 @@ def render(steps: list[Step], form: str = "long") -> str:
                 literal = s.literal if re.fullmatch(r"-?\d+(\.\d+)?", s.literal) else f'"{s.literal}"'
                 stack.append((f"{test}({name}) {s.comparison} {literal}", 3))
     return stack[0][0] if stack else ""
+
+
+def renamed(text: str, names: dict[str, str], form: str = "long") -> str:
+    """The condition with jobs renamed; references to other instances and globals stay as they are."""
+    steps = [Step(**(s.__dict__ | {"name": names.get(s.name, s.name)})) if s.kind in ("status", "exit") and not s.instance else s for s in parse(text)]
+    return render(steps, form)

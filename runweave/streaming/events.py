@@ -99,20 +99,23 @@ def batch_states(events: DataFrame) -> DataFrame:
                 yield part
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, first, at = None, None, {}
+        job, first, at, out = None, None, {}, []
         for part in runs(batches):
             if part[0][0] != job:
                 if job is not None:
-                    yield table_of(job, first, at)
+                    out.append((job, *first, list(at.items())))
                 job, first, at = part[0][0], part[0][1:3], {s: s for s in names}
+            if len(out) >= 500:
+                yield tables_of(out)
+                out = []
             for _, _, _, event, new in part:
                 at = {s: step(v, event, new) for s, v in at.items()}
         if job is not None:
-            yield table_of(job, first, at)
+            yield tables_of([*out, (job, *first, list(at.items()))])
 
-    def table_of(job: str, first: tuple, at: dict) -> pa.RecordBatch:
+    def tables_of(rows: list[tuple]) -> pa.RecordBatch:
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.string())]
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((job, *first, list(at.items())), kinds, strict=True)], ["job_name", "ts", "event_id", "moves"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["job_name", "ts", "event_id", "moves"])
 
     tables = log.mapInArrow(reduce, "job_name string, ts long, event_id long, moves map<string,string>")
     # whole jobs need no table: only those that lie in more than one partition come to the driver

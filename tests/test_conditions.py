@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from runweave.conditions import columns
-from runweave.conditions.language import ConditionError, parse, references, render
+from runweave.conditions.language import ConditionError, parse, references, render, renamed
 
 REFS = [
     ("s(a)", ["a"]), ("success(a) & f(b)", ["a", "b"]), ("d(a) AND t(b) or n(c)", ["a", "b", "c"]), ("(s(a) | s(b)) & s(a)", ["a", "b"]), ("e(a) = 0", ["a"]),
@@ -56,3 +56,7 @@ def test_edges(spark):
     df = spark.createDataFrame([("j1", "s(a) & s(b^PRD) & s(a)"), ("j2", "s(c) & & f(d)"), ("j3", None)], "job string, condition string")
     assert {tuple(r) for r in columns.edges(df, "job", "condition").collect()} == {("j1", "a"), ("j2", "c"), ("j2", "d")}
     assert {tuple(r) for r in columns.edges(df, "job", "condition", runtime=True).collect()} == {("j1", "a"), ("j1", "b")}
+
+
+def test_renaming_changes_whole_names_only():
+    assert renamed("s(a) & f(ab) & d(a^PRD) & v(a) = 1", {"a": "z"}) == "success(z) & failure(ab) & done(a^PRD) & value(a) = 1"
