@@ -4,7 +4,8 @@ Method: mergeable quantile sketches (KLL) of each statistic per language turn
 values into percentiles and robust z-scores, and the tails of the distributions
 are flagged. Statistics are taken of whole documents and of their blocks
 (paragraphs); a document is no prose when blocks in a tail hold more than half
-of its characters. Languages with few blocks, and texts without language, are
+of its characters. What is said over and over is looked for in the whole document,
+so neither the length of the repeated line nor blank lines matter. Languages with few blocks, and texts without language, are
 held against the sketches of all texts.
 
 Common words are the function words of a language; for a language without a
@@ -18,6 +19,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
@@ -59,7 +61,12 @@ TAILS = {
     "marker_share": ("high", 4.0, 0.1),
     "top_pair_share": ("high", 5.0, 0.02),
     "log_words_a_part": ("low", 2.3, 0.37),
+    "repeated_share": ("high", 5.0, 0.1),
 }
+#: Values beyond which a block is in the tail however many blocks of its language are so.
+SURE = {"repeated_share": 0.5}
+#: So many times in a row (lines: anywhere in the document) is over and over. Texts of a few set sentences repeat one by chance fewer times.
+REPEATS = 8
 #: Statistics of documents.
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
 _LINE = regex.compile(r"\r\n|[\r\n\u0085  ]")
@@ -95,6 +102,51 @@ def _share(part: int, whole: int) -> float:
     return part / whole if whole else 0.0
 
 
+def _in_a_row(tokens: list[str], times: int = REPEATS) -> np.ndarray:
+    """Whether each token stands in a sequence that follows itself until it is there so many times."""
+    n = len(tokens)
+    marked = np.zeros(n, bool)
+    if n < times:
+        return marked
+    number: dict[str, int] = {}
+    ids = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, n)
+    # a period is the distance of a pair of tokens to the same pair before it, that many times
+    pair = ids[:-1] * len(number) + ids[1:]
+    order = np.argsort(pair, kind="stable")
+    ordered = pair[order]
+    distance = np.diff(order)[ordered[1:] == ordered[:-1]]
+    if len(distance) < times - 2:
+        return marked
+    for p in np.flatnonzero(np.bincount(distance)[: n // times + 1] >= times - 2).tolist():
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], ids[p:] == ids[:-p], [0]))))
+        for begin, end in zip(edges[::2], edges[1::2], strict=True):
+            if end - begin >= (times - 1) * p:
+                marked[begin : end + p] = True
+    return marked
+
+
+def repeated_shares(parts: list[str], words: list[list[str]]) -> list[float]:
+    """Of each block (with its words in lower case) of a document, the share of its letters that stand in words or lines which the document has over and over.
+
+    Blank lines, line breaks, digits, case and punctuation between the words do
+    not count; of Chinese and Japanese each character is a word.
+    """
+    if sum(len(_CJK.findall(p)) for p in parts) > 0.3 * sum(map(len, parts)):
+        words = [list("".join(ws)) for ws in words]
+    marked = _in_a_row([w for ws in words for w in ws])
+    lines = [[x for x in map(str.strip, _LINE.split(p.lower())) if x] for p in parts]
+    often = {x for x, n in Counter(x for xs in lines for x in xs).items() if n >= REPEATS} if sum(map(len, lines)) >= REPEATS else set()
+    if not often and not marked.any():
+        return [0.0] * len(parts)
+    out, at = [], 0
+    for ws, xs in zip(words, lines, strict=True):
+        sizes = np.fromiter(map(len, ws), np.int64, len(ws))
+        in_a_row = _share(int(sizes[marked[at : at + len(ws)]].sum()), int(sizes.sum()))
+        out.append(max(in_a_row, _share(sum(len(x) for x in xs if x in often), sum(map(len, xs)))))
+        at += len(ws)
+    return out
+
+
 class Measure:
     """Statistics of texts and blocks, given each language's common words."""
 
@@ -105,7 +157,7 @@ class Measure:
     def common_share(self, words: list[str], text: str) -> float:
         """Largest share of common words in any language; in Japanese and Chinese that of kana among the letters."""
         n = len(words)
-        best = max((_share(sum(w in ws for w in words), n) for ws in self.lists), default=0.0)
+        best = max((_share(sum(map(ws.__contains__, words)), n) for ws in self.lists), default=0.0)
         cjk = len(_CJK.findall(text))
         return max(best, min(1.0, 1.2 * _share(len(_KANA.findall(text)), cjk))) if cjk > 0.3 * len(text) else best
 
@@ -117,11 +169,15 @@ class Measure:
             _share(sum(bool(_ENDED.search(x)) for x in lines), len(lines)), self.common_share(words, text),
         )
 
-    def block(self, text: str) -> tuple:
+    def blocks(self, text: str) -> list[tuple]:
+        """block() of each block of a text."""
+        parts = blocks(text)
+        words = [[w.lower() for w in _WORD.findall(p)] for p in parts]
+        return [self.block(p, ws, r) for p, ws, r in zip(parts, words, repeated_shares(parts, words), strict=True)]
+
+    def block(self, text: str, words: list[str], repeated: float) -> tuple:
         """chars, words, and the statistics in TAILS; NULL where a block is too short to tell."""
-        found = _WORD.findall(text)
-        words = [w.lower() for w in found]
-        n, chars = len(words), sum(not c.isspace() for c in text)
+        n, chars = len(words), len("".join(text.split()))
         lines = [x for x in _LINE.split(text) if x.strip()]
         cjk = len(_CJK.findall(text)) > 0.3 * chars
         parts = sum(bool(_LETTER.search(x)) for x in _PART.split(text))
@@ -134,6 +190,7 @@ class Measure:
             _share(sum(bool(_MARKER.match(x)) for x in lines), len(lines)),
             _share(max(pairs.values()), n - 1) if n >= 12 else None,
             math.log(max(n, 1) / parts) if parts >= 5 and not cjk else None,
+            repeated,
         )
 
 
@@ -159,9 +216,9 @@ def _measured(docs: DataFrame, key: str, text: str, lang: str, of_blocks: bool)
         for b in batches:
             at, out = [], []
             for i, t in enumerate(b.column(2).to_pylist()):
-                for part in blocks(t) if of_blocks else [t]:
-                    at.append(i)
-                    out.append(measure.block(part) if of_blocks else measure.document(part))
+                found = measure.blocks(t) if of_blocks else [measure.document(t)]
+                at += [i] * len(found)
+                out += found
             if not at:
                 continue
             take = pa.array(at, pa.int64())
@@ -211,6 +268,8 @@ def not_prose(docs: DataFrame, key: str, text: str, lang: str, tails: dict = TAI
         scale = F.greatest((q[2] - q[0]) / 1.349, F.lit(least))
         z = (F.col(s) - q[1]) / scale
         flag = flag | F.coalesce(z < -far if side == "low" else z > far, F.lit(False))
+        if s in SURE:
+            flag = flag | F.coalesce(F.col(s) > SURE[s], F.lit(False))
     by_doc = scored.groupBy("key").agg((F.sum(F.when(flag, F.col("chars")).otherwise(0)) / F.sum("chars")).alias("tail_share"))
     return by_doc.where(F.col("tail_share") > half).withColumnRenamed("key", key)
 

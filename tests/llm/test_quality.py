@@ -46,3 +46,36 @@ def test_languages_without_a_list_learn_their_common_words(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     got = {r["lang"]: set(r["words"]) for r in quality.common_words(df, "text", "lang").collect()}
     assert got == {"xx": {"foo", "bar", "baz", "unique"}}
+
+
+LINES = {
+    "en": ["Please wait while the page is loading again.", "The connection to the archive was lost and will be opened once more in a minute."],
+    "de": ["Bitte warten Sie, die Seite wird geladen.", "Die Verbindung zum Archiv ist unterbrochen und wird in einer Minute noch einmal aufgebaut, bitte haben Sie etwas Geduld mit uns."],
+    "fr": ["Veuillez patienter pendant que la page se charge.", "La connexion avec le serveur est perdue et sera ouverte encore une fois dans une minute."],
+    "es": ["Espere por favor mientras se carga la página.", "La conexión con el servidor se ha perdido y se abrirá otra vez dentro de un minuto."],
+    "pl": ["Proszę czekać, strona jest teraz ładowana od nowa.", "Połączenie z archiwum zostało przerwane i za minutę będzie otwarte jeszcze raz dla wszystkich."],
+    "ja": ["接続が切れました、再試行しています", "アーカイブへの接続が失われたため、一分後にもう一度だけ接続を試みますのでお待ちください。"],
+}
+
+
+def test_a_line_over_and_over_is_not_prose(spark):
+    rnd = random.Random(8)
+    rows, want, k = [(i, " ".join(rnd.sample(S, 3)), "en") for i in range(400)], set(), 1000
+    for lang, lines in LINES.items():
+        rows += [(k + i, " ".join(rnd.sample(lines * 2, 3)), lang) for i in range(5)]
+        for line in lines:
+            for sep in ("\n", "\n\n", "\r\n \r\n", " "):
+                for n in (8, 200):
+                    k += 10
+                    want.add(k)
+                    rows.append((k, sep.join([line] * n), lang))
+            # every second line another one; and half of the text at most
+            k += 10
+            want.add(k)
+            rows.append((k, "\n".join(f"{line}\nx{i}" for i in range(9)), lang))
+        k += 10
+    rows.append((1, " ".join(S) + "\n\n" + "Please wait while the page is loading again.\n" * 8, "en"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.not_prose(df, "doc_id", "text", "lang").collect()} == want
+    parts = [S[0], "a b\nc", " ".join([S[1]] * 5)]
+    assert quality.repeated_shares(parts, [quality._WORD.findall(p.lower()) for p in parts]) == [0.0] * 3
