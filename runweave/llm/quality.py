@@ -5,8 +5,10 @@ values into percentiles and robust z-scores, and the tails of the distributions
 are flagged. Statistics are taken of whole documents and of their blocks
 (paragraphs); a document is no prose when blocks in a tail hold more than half
 of its characters. What is said over and over is looked for in the whole document,
-so neither the length of the repeated line nor blank lines matter. Languages with few blocks, and texts without language, are
-held against the sketches of all texts.
+so neither the length of the repeated line nor blank lines matter. The quantiles of a
+language are blended with those of all texts, each statistic's by the number of its
+own values in the language; texts without language are held against all texts.
+Percentiles and z-scores of documents are strictly those of their language.
 
 Common words are the function words of a language; for a language without a
 list, the words in the most of its documents, counted over the whole corpus. Text is read once for statistics, whose rows are written to the
@@ -29,8 +31,8 @@ from runweave.session import cut
 
 #: Common words of each language.
 COMMON = 60
-#: A language needs so many blocks for distributions of its own.
-LEAST_BLOCKS = 200
+#: Quantiles of all texts weigh as much as so many values of the language itself.
+PRIOR_VALUES = 200
 #: A common word stands in at least this share of a language's documents.
 LEAST_SHARE = 0.01
 # Words without which sentences can hardly be written.
@@ -102,6 +104,11 @@ def _share(part: int, whole: int) -> float:
     return part / whole if whole else 0.0
 
 
+def _units(words: list[str]) -> list[str]:
+    """Chinese and Japanese have no blanks between words: each character of theirs counts as one."""
+    return [u for w in words for u in (w if _CJK.search(w) else (w,))]
+
+
 def _in_a_row(tokens: list[str], times: int = REPEATS) -> np.ndarray:
     """Whether each token stands in a sequence that follows itself until it is there so many times."""
     n = len(tokens)
@@ -132,7 +139,7 @@ def repeated_shares(parts: list[str], words: list[list[str]]) -> list[float]:
     not count; of Chinese and Japanese each character is a word.
     """
     if sum(len(_CJK.findall(p)) for p in parts) > 0.3 * sum(map(len, parts)):
-        words = [list("".join(ws)) for ws in words]
+        words = [_units(ws) for ws in words]
     marked = _in_a_row([w for ws in words for w in ws])
     lines = [[x for x in map(str.strip, _LINE.split(p.lower())) if x] for p in parts]
     often = {x for x, n in Counter(x for xs in lines for x in xs).items() if n >= REPEATS} if sum(map(len, lines)) >= REPEATS else set()
@@ -181,14 +188,15 @@ class Measure:
         lines = [x for x in _LINE.split(text) if x.strip()]
         cjk = len(_CJK.findall(text)) > 0.3 * chars
         parts = sum(bool(_LETTER.search(x)) for x in _PART.split(text))
-        pairs = Counter(zip(words, words[1:], strict=False))
+        units = _units(words) if cjk else words
+        pairs = Counter(zip(units, units[1:], strict=False))
         return (
             chars, n,
             self.common_share(words, text) if n >= 5 or cjk else (0.0 if chars >= 30 and n < 3 else None),
             _share(len(_SYMBOL.findall(text)), chars), _share(len(_DIGIT.findall(text)), chars),
             None if cjk else _share(sum(map(len, words)), n),
             _share(sum(bool(_MARKER.match(x)) for x in lines), len(lines)),
-            _share(max(pairs.values()), n - 1) if n >= 12 else None,
+            _share(max(pairs.values()), len(units) - 1) if len(units) >= 12 else None,
             math.log(max(n, 1) / parts) if parts >= 5 and not cjk else None,
             repeated,
         )
@@ -230,23 +238,27 @@ def _measured(docs: DataFrame, key: str, text: str, lang: str, of_blocks: bool)
 
 
 def sketches(rows: DataFrame, stats: list[str]) -> DataFrame:
-    """(lang, n, sketch of each statistic), for each language and, under '*', for all rows; merged map-side."""
-    own = rows.where("lang != '*'").groupBy("lang").agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(s) for s in stats])
-    all_ = rows.agg(F.count("*").alias("n"), *[F.kll_sketch_agg_double(s).alias(s) for s in stats]).select(F.lit("*").alias("lang"), "n", *stats)
-    return own.unionByName(all_)
+    """(lang, sketch of each statistic), for each language and, under '*', for all rows; merged map-side."""
+    merged = [F.kll_sketch_agg_double(s).alias(s) for s in stats]
+    return rows.where("lang != '*'").groupBy("lang").agg(*merged).unionByName(rows.agg(*merged).select(F.lit("*").alias("lang"), *stats))
 
 
-def _with_sketches(rows: DataFrame, stats: list[str], columns: dict[str, Column], least: int) -> DataFrame:
-    """rows with columns computed from the sketches of their language, or of all rows if it has too few."""
-    table = sketches(rows, stats).select("lang", "n", *[c.alias(n) for n, c in columns.items()])
-    whole = table.where("lang = '*'").drop("lang", "n")
-    own = table.where((F.col("lang") != "*") & (F.col("n") >= least)).drop("n")
-    picked = rows.join(own.withColumn("_own", F.lit(True)), "lang", "left")
-    other = whole.select(F.lit(1).alias("_one"), *[F.col(c).alias(f"_all_{c}") for c in whole.columns])
-    picked = picked.withColumn("_one", F.lit(1)).join(F.broadcast(other), "_one", "left")  # one row
-    for c in columns:
-        picked = picked.withColumn(c, F.coalesce(F.col(c), F.col(f"_all_{c}")))
-    return picked.drop("_one", "_own", *[f"_all_{c}" for c in columns])
+def _with_sketches(rows: DataFrame, stats: list[str], columns: dict[str, tuple[str, Column]], prior: float) -> DataFrame:
+    """rows with arrays (name: statistic, quantiles) from the sketches of their language.
+
+    The arrays of all rows count as `prior` values beside the n that the
+    language has of the statistic: (n * own + prior * all) / (n + prior). Those
+    of a language without any value are the ones of all rows.
+    """
+    table = sketches(rows, stats)
+    table = table.select("lang", *[c.alias(name) for name, (_, c) in columns.items()], *[F.kll_sketch_get_n_double(s).cast("double").alias(f"n_{s}") for s in stats])
+    whole = table.where("lang = '*'").select(F.lit(1).alias("_one"), *[F.col(c).alias(f"_all_{c}") for c in columns])
+    blended = table.withColumn("_one", F.lit(1)).join(F.broadcast(whole), "_one")  # one row
+    for c, (s, _) in columns.items():
+        own = F.col(f"n_{s}") / (F.col(f"n_{s}") + prior)
+        mixed = F.zip_with(c, f"_all_{c}", lambda x, y: own * x + (1 - own) * y)  # noqa: B023  # called at once
+        blended = blended.withColumn(c, F.coalesce(F.when(F.col("lang") == "*", F.col(c)).otherwise(mixed), F.col(f"_all_{c}")))
+    return rows.join(blended.select("lang", *columns), "lang", "left")
 
 
 def _quantiles(s: str) -> Column:
@@ -261,7 +273,7 @@ def not_prose(docs: DataFrame, key: str, text: str, lang: str, tails: dict = TAI
     NULL, empty and blank texts are no case. Of rows with one key the blocks count together.
     """
     rows = cut(_measured(docs, key, text, lang, True))
-    scored = _with_sketches(rows, list(tails), {f"q_{s}": _quantiles(s) for s in tails}, LEAST_BLOCKS)
+    scored = _with_sketches(rows, list(tails), {f"q_{s}": (s, _quantiles(s)) for s in tails}, PRIOR_VALUES)
     flag = F.lit(False)
     for s, (side, far, least) in tails.items():
         q = F.col(f"q_{s}")
@@ -278,9 +290,9 @@ def statistics(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     """(key, lang, statistics, and of each its percentile and robust z-score within the language) of every text that isn't NULL."""
     rows = cut(_measured(docs, key, text, lang, False).withColumn("n_words", F.col("n_words").cast("double")))
     grid = F.array(*[F.lit(i / 100) for i in range(101)])
-    columns = {f"k_{s}": F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, grid)) for s in STATS}
-    columns |= {f"q_{s}": _quantiles(s) for s in STATS}
-    scored = _with_sketches(rows, list(STATS), columns, LEAST_BLOCKS)
+    columns = {f"k_{s}": (s, F.when(F.kll_sketch_get_n_double(s) > 0, F.kll_sketch_get_quantile_double(s, grid))) for s in STATS}
+    columns |= {f"q_{s}": (s, _quantiles(s)) for s in STATS}
+    scored = _with_sketches(rows, list(STATS), columns, 0.0)
     out = [F.col("key").alias(key), F.when(F.col("lang") != "*", F.col("lang")).alias("lang")]
     for s in STATS:
         q = F.col(f"q_{s}")

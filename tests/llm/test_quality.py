@@ -79,3 +79,28 @@ def test_a_line_over_and_over_is_not_prose(spark):
     assert {r["doc_id"] for r in quality.not_prose(df, "doc_id", "text", "lang").collect()} == want
     parts = [S[0], "a b\nc", " ".join([S[1]] * 5)]
     assert quality.repeated_shares(parts, [quality._WORD.findall(p.lower()) for p in parts]) == [0.0] * 3
+
+
+def test_more_rows_of_a_language_lose_no_document(spark):
+    rnd = random.Random(5)
+    prose = {"en": S, "ja": [x + "。" for x in ("夜間バッチは予定より遅れて終了しました", "この設定は来月見直す予定です", "依存関係を確認してから再実行してください")]}
+    rows = [(i, " ".join(rnd.sample(S, 3)), "en") for i in range(400)]
+    bad = [LINES["ja"][0] + "\n", "まだ、"]
+    rows += [(1000, bad[0] * 60, "ja"), (1001, bad[0] * 60, None), (1002, bad[1] * 7 + "おわりました、" + bad[1] * 7, "ja")]
+    found = []
+    # many Japanese blocks, of which 12 have many phrases
+    for n in (0, 190, 210, 600):
+        more = [(2000 + i, "\n\n".join(rnd.sample(prose["ja"], 2)), "ja") for i in range(n // 2)]
+        more += [(5000 + i, "確認、" * 15 + "".join(prose["ja"]), "ja") for i in range(12 if n else 0)]
+        df = spark.createDataFrame(rows + more, "doc_id long, text string, lang string")
+        found.append({r["doc_id"] for r in quality.not_prose(df, "doc_id", "text", "lang").collect()} & {r[0] for r in rows})
+    assert {1000, 1001, 1002} <= found[0] and all(a <= b for a, b in zip(found, found[1:], strict=False))
+
+
+def test_scores_are_those_of_the_language_however_few(spark):
+    rows = [(i, "one two three four five", "en") for i in range(300)] + [(1000 + i, " ".join(["raz"] * n), "pl") for i, n in enumerate((50, 60, 70))] + [(2000, "a b", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r for r in quality.statistics(df, "doc_id", "text", "lang").collect()}
+    assert len(out) == len(rows) and out[1001]["n_words_z"] == 0 and out[1000]["n_words_z"] < 0 < out[1002]["n_words_z"]
+    assert out[1000]["n_words_percentile"] < out[1001]["n_words_percentile"] < out[1002]["n_words_percentile"]
+    assert out[2000]["n_words_z"] < 0
