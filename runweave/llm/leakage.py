@@ -90,21 +90,25 @@ class ItemWindows:
 
     def without_spans(self, text: str) -> str:
         """The text with every passage taken out that an item has (from its first word's to its last word's end)."""
-        hit = sorted({p for _, p, _ in self.hits(text)})
-        if not hit:
-            return text
-        # lower() may change a text's length; spans are found in the text itself
-        spans = [m.span() for m in _WORD.finditer(text)]
-        if len(spans) != len(words(text)):
-            spans = _spans_by_lowering(text)
-        out, done = [], 0
-        for p in hit:
-            begin, end = spans[p][0], spans[p + self.n - 1][1]
-            if begin > done:
-                out.append(text[done:begin])
-            done = max(done, end)
-        out.append(text[done:])
-        return "".join(out)
+        return _cut_out(text, sorted({p for _, p, _ in self.hits(text)}), self.n)
+
+
+def _cut_out(text: str, hit: list[int], n: int) -> str:
+    """The text without the windows of n words that begin at the words hit (ascending)."""
+    if not hit:
+        return text
+    # lower() may change a text's length; spans are found in the text itself
+    spans = [m.span() for m in _WORD.finditer(text)]
+    if len(spans) != len(words(text)):
+        spans = _spans_by_lowering(text)
+    out, done = [], 0
+    for p in hit:
+        begin, end = spans[p][0], spans[p + n - 1][1]
+        if begin > done:
+            out.append(text[done:begin])
+        done = max(done, end)
+    out.append(text[done:])
+    return "".join(out)
 
 
 def _spans_by_lowering(text: str) -> list[tuple[int, int]]:
@@ -171,13 +175,13 @@ def _joined(rows: DataFrame, items: DataFrame, item_key: str, item_text: str, n:
 def clean(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int = WORDS, limit: int = MAX_BROADCAST_CHARS) -> DataFrame:
     """(key, text): every document without the passages that items have; others come out as they are.
 
-    Spans need the items in each task: item sets above the limit raise
-    ValueError; drop whole documents by leaks() then.
+    Item sets above the limit are not broadcast: windows of documents and items
+    are joined by hash, and the texts are cut at the positions that come out.
     """
     kind = dict(docs.dtypes)[key]
     known = _collected(items, item_key, item_text, limit)
     if known is None:
-        raise ValueError("the items are too large to be broadcast; remove documents by leaks() instead")
+        return _clean_joined(docs, key, text, items, item_key, item_text, n)
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,3 +192,34 @@ def clean(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
 
     out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, text string")
     return out.withColumnsRenamed({"key": key, "text": text})
+
+
+def _clean_joined(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, n: int) -> DataFrame:
+    """clean() without broadcast.
+
+    A text stands for all its rows: rows with one text, whatever their keys, get
+    the same positions, found once. Windows of items are made distinct first, so
+    each window of a text meets at most one row.
+    """
+    kind = dict(docs.dtypes)[key]
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t in zip(b.column(0), b.column(1), strict=True):
+                w = words(t.as_py())
+                grams = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)]
+                yield pa.RecordBatch.from_arrays([pa.repeat(k, len(grams)), pa.array(range(len(grams)), pa.int32()), pa.array(grams, pa.string())], ["id", "at", "gram"])
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t if not hit else _cut_out(t, hit, n) for t, hit in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["key", "text"])
+
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.sha2("text", 256).alias("id"))
+    long_ = rows.where(F.length("text") >= 2 * n - 1).dropDuplicates(["id"]).select("id", "text")
+    of_docs = long_.mapInArrow(windows, "id string, at int, gram string").withColumn("h", F.xxhash64("gram"))
+    wanted = items.where(F.col(item_key).isNotNull()).select(F.lit("").alias("id"), F.col(item_text).alias("text")).where("text is not null")
+    of_items = wanted.mapInArrow(windows, "id string, at int, gram string").select(F.xxhash64("gram").alias("h"), "gram").distinct()
+    hits = of_docs.join(of_items, ["h", "gram"]).groupBy("id").agg(F.sort_array(F.collect_list("at")).alias("hit"))
+    out = rows.join(hits, "id", "left").select("key", "text", "hit").mapInArrow(cut_out, f"key {kind}, text string")
+    return out.withColumnsRenamed({"key": key, "text": text})

@@ -59,3 +59,12 @@ def test_spans_are_taken_out(spark):
     windows = leakage.ItemWindows([(0, "a b c d e f g h i j k l")])
     assert windows.without_spans("Before. A, b! c d e f g h i j K l; after İ") == "Before. ; after İ"
     assert windows.without_spans("İİ a b c d e f g h i j x") == "İİ  x"
+
+
+def test_spans_are_taken_out_without_broadcast(spark):
+    docs, items = case()
+    docs += [(600, "İİ " + items[0][1]), (None, items[1][1].upper() + " end"), (601, docs[2][1])]
+    d, i = frames(spark, docs, items)
+    out = [sorted(map(tuple, leakage.clean(d, "doc_id", "text", i, "item_id", "text", limit=n).select("doc_id", "text").collect()), key=str) for n in (leakage.MAX_BROADCAST_CHARS, 10)]
+    assert len(out[1]) == len(docs) and out[0] == out[1]
+    assert leakage.clean(d, "doc_id", "text", i.where("item_id = 98"), "item_id", "text", limit=-1).exceptAll(d.select("doc_id", "text")).count() == 0
