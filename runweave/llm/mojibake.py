@@ -10,7 +10,9 @@ Clean records are found in two rounds: first those without any sign in their
 form (no replacement or control characters, no token whose bytes decode as
 UTF-8), then, with a first model, those that no chain improves. The model is a
 table of hashed n-gram counts of fixed size, so what is broadcast doesn't grow
-with the corpus; counts come from all clean records.
+with the corpus; counts come from the lines of clean records that hold other
+than ASCII characters. Only tokens with such characters are scored, so the model
+is of the text around them; ASCII lines and records are left out of it.
 """
 
 from __future__ import annotations
@@ -219,7 +221,7 @@ def looks_clean(text: str) -> bool:
 
 
 def _trained(high: DataFrame, make_clean) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of all clean records, at most CELLS of them."""
+    """Counts of the lines with other than ASCII characters of all clean records, at most CELLS of them."""
     counted = high.mapInArrow(lambda it: _count(it, make_clean()), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     return counted.column("cell").to_numpy(), counted.column("n").to_numpy()
 
