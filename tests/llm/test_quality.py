@@ -41,11 +41,33 @@ def test_statistics_and_percentiles(spark):
     assert quality.statistics(df.limit(0), "doc_id", "text", "lang").count() == 0
 
 
-def test_languages_without_a_list_learn_their_common_words(spark):
-    rows = [(i, "foo bar baz unique%d" % i, "xx") for i in range(20)] + [(50, "the and", "en"), (51, None, "xx")]
+def test_common_words_are_learned_from_sentences_of_every_language(spark):
+    rows = [(i, "foo bar, baz unique%s.\nthis line doesn't end" % chr(97 + i), "xx") for i in range(20)] + [(50, "The end.", "en"), (51, None, "xx"), (52, "no sentence", "yy"), (53, "nobody's.", None)]
+    rows += [(60, "再試行します。", "ja")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    got = {r["lang"]: set(r["words"]) for r in quality.common_words(df, "text", "lang").collect()}
-    assert got == {"xx": {"foo", "bar", "baz", "unique"}}
+    got = {r["lang"]: set(r["words"]) for r in quality.common_words(df, "text", "lang", 0.02).collect()}
+    assert got == {"xx": {"foo", "bar", "baz"}, "en": {"the", "end"}, "ja": set("再試行します")}
+
+
+def test_language_of_a_text_without_one_or_in_another():
+    m = quality.Measure({"en": frozenset("the of and is".split()), "pl": frozenset("i w z na".split())})
+    assert m.language("the end of it and".split(), "*") == ("en", 0.6)
+    assert m.language("i w na".split(), "en") == ("pl", 1.0)
+    assert m.language("q x i z v t".split(), "pl") == ("pl", 2 / 6)
+    assert m.language([], "en") == ("en", None) and quality.Measure({}).language(["a"], "en") == ("en", None)
+
+
+def test_long_texts_without_any_sentence(spark):
+    """Word salads of every length, without punctuation or line ends, and stanzas of definitions in a corpus of which a third is no prose."""
+    rnd = random.Random(4)
+    rows = [(i, " ".join(rnd.choice(S) for _ in range(rnd.randrange(2, 6))), "en") for i in range(200)]
+    words = "mon tue wed ledger fees eur purge claims load jan crm aml hr nav stage of the".split()
+    other = [" ".join(rnd.choice(words) for _ in range(n)) for n in (25, 60, 100, 1000)]
+    other += ["\n\n".join(f"insert_job: aa_b_{i}   job_type: CMD\nowner: svc_x\ncommand: /opt/batch/x.sh\nn_retrys: {i % 4}" for i in range(n)) for n in range(1, 90)]
+    other += ["".join(rnd.choice("acdefjklqswxz  ") for _ in range(900)) for _ in range(7)]
+    rows += [(1000 + i, t, "en") for i, t in enumerate(other)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in quality.not_prose(df, "doc_id", "text", "lang").collect()} == {1000 + i for i in range(len(other))}
 
 
 LINES = {
