@@ -111,6 +111,8 @@ def _low_median(values: list[float | None]) -> float | None:
 
 def _units(words: list[str]) -> list[str]:
     """Chinese and Japanese have no blanks between words: each character of theirs counts as one."""
+    if not _CJK.search(" ".join(words)):
+        return words
     return [u for w in words for u in ((w,) if w.isascii() else _UNIT.findall(w))]
 
 
@@ -118,7 +120,8 @@ def _in_a_row(tokens: list[str], times: int = REPEATS) -> np.ndarray:
     """Whether each token stands in a sequence that follows itself until it is there so many times."""
     n = len(tokens)
     marked = np.zeros(n, bool)
-    if n < times:
+    # what is there so many times in a row has its pairs of tokens one time fewer at least
+    if n < times or max(Counter(pairwise(tokens)).values()) < times - 1:
         return marked
     number: dict[str, int] = {}
     ids = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, n)
