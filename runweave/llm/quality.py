@@ -64,6 +64,8 @@ SURE = {"repeated_share": 0.5}
 USUAL_PARTS, USUAL_WORDS = 1.0, 8.0
 #: So many times in a row (lines: anywhere in the document) is over and over. Texts of a few set sentences repeat one by chance fewer times.
 REPEATS = 8
+#: Size of the sketches: the rank of a quantile is off by about 2 / SKETCH.
+SKETCH = 4096
 #: Statistics of documents.
 STATS = ("n_words", "mean_word_length", "symbol_ratio", "punctuated_line_share", "common_word_share")
 _ENDS = "\r\n|[\r\n\u0085\u2028\u2029]"
@@ -267,7 +269,7 @@ def _measured(docs: DataFrame, key: str, text: str, lang: str, of_blocks: bool)
 
 def sketches(rows: DataFrame, stats: list[str]) -> DataFrame:
     """(lang, sketch of each statistic), for each language and, under '*', for all rows; merged map-side."""
-    merged = [F.kll_sketch_agg_double(s).alias(s) for s in stats]
+    merged = [F.kll_sketch_agg_double(s, SKETCH).alias(s) for s in stats]
     return rows.where("lang != '*'").groupBy("lang").agg(*merged).unionByName(rows.agg(*merged).select(F.lit("*").alias("lang"), *stats))
 
 

@@ -56,3 +56,47 @@ def test_twice_garbled_and_lost_bytes():
     twice = once.encode().decode("latin-1")
     assert any(t == once for _, t in mojibake.readings(twice))
     assert any(t == "größer" for _, t in mojibake.readings(once))
+
+
+@pytest.fixture(scope="module")
+def model():
+    words = mojibake.Counter()
+    for i in range(200):
+        words.update(mojibake._TOKEN.findall(CLEAN[i % len(CLEAN)]))
+    return mojibake.Model(mojibake._table(words), sum((len(w) + 1) * n for w, n in words.items()))
+
+
+def test_counts_are_those_of_plain_counting(model):
+    text = "größer größer als"
+    words = mojibake.Counter(text.split())
+    table = mojibake._table(words)
+    assert table.sum() == 2 * sum(n * (len(w) + 1 + len(w) + 1 + len(w) + len(w) + 1 + len(w)) for w, n in words.items())
+    chars, _ = mojibake._row(["größer"])
+    a, b = mojibake._hashes(chars, 2, 3)
+    assert min(table[0][a[3]], table[1][b[3]]) == 2  # "röß" ends two characters after its first
+
+
+def test_texts_decoded_wrongly_many_times_are_restored(model):
+    text = "Prüfung der Beträge für München"
+    for deep in range(1, 7):
+        text = text.encode().decode("latin-1")
+        got, chains, found = model.restore(text, 3.0)
+        assert found and got == "Prüfung der Beträge für München" and len(chains) >= 1, deep
+
+
+def test_a_legacy_pair_and_then_utf8(model):
+    once = "Загрузка котировок, повтор через час".encode("cp1251").decode("latin-1")
+    assert model.restore(once.encode().decode("cp1252", "strict"), 3.0)[0] == "Загрузка котировок, повтор через час"
+
+
+def test_lost_second_bytes_and_replaced_characters(model):
+    assert model.restore("MANUTENÃ‡ÃƒO Ã\u00a0 NOITE, Ã  s horas".replace("\u00a0", " "), 3.0)[2]
+    assert model.restore("été comme hiver, Ã  vérifier", 3.0)[0] == "été comme hiver, à vérifier"
+    assert model.restore("Schl�ssel für", 3.0) == ("Schl�ssel für", [], True)
+    assert not model.restore("größer – 3½ units", 3.0)[2]
+
+
+def test_margin_is_chosen_on_held_out_lines():
+    rows = [(0, False, 90), (2, False, 10), (4, False, 1), (1, True, 1), (12, True, 20), (30, True, 70)]
+    assert 5 <= mojibake._margin(rows) <= 12
+    assert mojibake._margin([]) == mojibake.MARGIN
