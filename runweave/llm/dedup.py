@@ -6,7 +6,14 @@ The table stores each accepted run's distance to a fixed pivot, cut into ranges
 as wide as the tolerance. By the triangle inequality a run within the tolerance
 of a new row lies in the row's own range or a neighbouring one, so ranges are
 joined by equality; the true distance is verified on the starts themselves.
-The pivot is the earliest time there is, so distances order the starts.
+The pivot is the earliest time there is, so distances order the starts. One pivot
+is enough: on a line, from its end, |d(x, p) - d(y, p)| = d(x, y) for all x and y, so
+the triangle inequality prunes exactly what is too far and a further pivot would
+prune nothing more.
+
+The table is stored in folders by the day of the distance. Queries make it from the
+history once for each state of the history's files and then read it, and of it only
+the folders that the batches reach.
 
 Of each (job, attempt, machine, range) only the least and the greatest start
 are needed to tell whether some run lies within the tolerance of a row: the
@@ -18,10 +25,13 @@ appended to the table without reading the history again.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runweave.functions.texts import host_key, name_key
+from runweave.session import ensure_checkpoint_dir
 
 #: The pivot: 0001-01-01 in microseconds since 1970.
 PIVOT_US = -62_135_596_800_000_000
@@ -30,6 +40,9 @@ TOLERANCE_US = 5_000_000
 #: Stand for "no machine" and "any machine" in the key; neither is a host name.
 _NONE, _ANY = "", "*"
 _KEY = ["job", "attempt", "host", "range"]
+#: Ranges of a folder of the stored table: a day.
+RANGES_A_FOLDER = 17_280
+_STORED = "job string, attempt int, host string, range long, least long, greatest long, day long"
 
 
 def _keyed(df: DataFrame, **extra: Column) -> DataFrame:
@@ -120,17 +133,39 @@ def duplicates(batches: DataFrame, pivots: DataFrame) -> DataFrame:
     return out.where(F.coalesce("known", F.lit(False)) | (F.col("ord") < own) | (F.col("first") < own)).select("batch_row_id", "import_id")
 
 
-def append(path: str, batches: DataFrame, ranges_a_folder: int = 17_280) -> None:
-    """The new rows' part of the table added to the stored one at path, a folder for each day of pivot distance."""
+def append(path: str, batches: DataFrame, ranges_a_folder: int = RANGES_A_FOLDER, mode: str = "append") -> None:
+    """The rows' part of the table added to the stored one at path, a folder for each day of pivot distance."""
     part = pivot_table(batches).withColumn("day", F.expr(f"range div {int(ranges_a_folder)}"))
-    part.repartition("day").write.mode("append").partitionBy("day").parquet(path)
+    part.repartition("day").write.mode(mode).partitionBy("day").parquet(path)
+
+
+def stored(spark: SparkSession, path: str, batches: DataFrame, ranges_a_folder: int = RANGES_A_FOLDER) -> DataFrame:
+    """The stored table as far as the batches' distances reach; other folders aren't read.
+
+    The days that batches reach come to the driver; they are as many as folders at most.
+    """
+    near = F.explode(F.array(*[F.expr(f"(range + {i}) div {int(ranges_a_folder)}") for i in (-1, 1)]))
+    days = [r["day"] for r in _keyed(batches).select(near.alias("day")).distinct().collect()]
+    table = spark.read.schema(_STORED).parquet(path).where(F.col("day").isin(days) if days else F.lit(False))
+    return table.groupBy(*_KEY).agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
 
 
-def stored(spark: SparkSession, path: str, batches: DataFrame, ranges_a_folder: int = 17_280) -> DataFrame:
-    """The stored table as far as the batches' distances reach; other folders aren't read."""
-    low, high = _keyed(batches).agg(F.min("range"), F.max("range")).head()
-    table = spark.read.parquet(path)
-    if low is None:
-        return table.where("false").drop("day")
-    days = F.col("day").between((low - 1) // ranges_a_folder, (high + 1) // ranges_a_folder)
-    return table.where(days).groupBy(*_KEY).agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+def accepted(spark: SparkSession, source: str) -> str:
+    """Path of the stored table of the history at source (a Parquet file or folder), made if there is none of its present state.
+
+    It lies in the shared checkpoint folder under a name that follows from the
+    names, sizes and times of the history's files; a table left half written has no
+    success mark and is made again.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(source)
+    files, state = at.getFileSystem(conf).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    name = hashlib.sha256("\n".join(sorted(state)).encode()).hexdigest()[:24]
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/accepted-runs-{name}"
+    mark = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not mark.getFileSystem(conf).exists(mark):
+        append(path, spark.read.parquet(source).select("job_name", "retry_count", "machine", "start_time"), mode="overwrite")
+    return path

@@ -22,9 +22,9 @@ def p5_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _duplicates(spark: SparkSession, d: str) -> DataFrame:
-    history = table(spark, d, "job_runs").select("job_name", "retry_count", "machine", "start_time")
+    path = dedup.accepted(spark, f"{d}/job_runs.parquet")
     batches = table(spark, d, "run_batches").select("batch_row_id", "import_id", "job_name", "retry_count", "machine", "start_time")
-    return dedup.duplicates(batches, dedup.pivot_table(history))
+    return dedup.duplicates(batches, dedup.stored(spark, path, batches))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -64,6 +64,24 @@ def test_stored_table_grows_by_batches(spark, tmp_path):
     assert got == brute(history, batches)
 
 
+def test_history_is_read_once_and_then_only_folders_in_reach(spark, tmp_path):
+    day = dt.timedelta(days=1)
+    noon = T0 + day / 2
+    history = [("a", 0, "m", noon + i * day, "c", "c") for i in range(30)]
+    source = str(tmp_path / "job_runs.parquet")
+    spark.createDataFrame(history, HISTORY).write.parquet(source)
+    path = dedup.accepted(spark, source)
+    assert dedup.accepted(spark, source) == path
+    batch = spark.createDataFrame([(1, 1, "a", 0, "m", noon + 3 * day, 0), (2, 1, "a", 0, "m", noon + 3 * day + dt.timedelta(hours=1), 0), (3, 1, "a", 0, None, noon + 9 * day, 0)], BATCH)
+    known = dedup.stored(spark, path, batch)
+    assert {r["range"] // dedup.RANGES_A_FOLDER for r in known.collect()} == {r["range"] // dedup.RANGES_A_FOLDER for r in dedup._keyed(batch.where("batch_row_id != 2")).collect()}
+    assert {r[0] for r in dedup.duplicates(batch, known).collect()} == {1, 3}
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "job_runs" not in plan
+    spark.createDataFrame(history[:1], HISTORY).write.mode("append").parquet(source)
+    assert dedup.accepted(spark, source) != path
+
+
 def test_no_rows(spark):
     h, b = spark.createDataFrame([], HISTORY), spark.createDataFrame([], BATCH)
     assert dedup.duplicates(b, dedup.pivot_table(h)).count() == 0
