@@ -136,7 +136,7 @@ def duplicates(batches: DataFrame, pivots: DataFrame) -> DataFrame:
 def append(path: str, batches: DataFrame, ranges_a_folder: int = RANGES_A_FOLDER, mode: str = "append") -> None:
     """The rows' part of the table added to the stored one at path, a folder for each day of pivot distance."""
     part = pivot_table(batches).withColumn("day", F.expr(f"range div {int(ranges_a_folder)}"))
-    part.repartition("day").write.mode(mode).partitionBy("day").parquet(path)
+    part.hint("rebalance", "day").write.mode(mode).partitionBy("day").parquet(path)
 
 
 def stored(spark: SparkSession, path: str, batches: DataFrame, ranges_a_folder: int = RANGES_A_FOLDER) -> DataFrame:
