@@ -57,6 +57,29 @@ def test_mixtures_decide_between_readings(spark):
     assert got["unclear", "05/05/2025 10:00:00"] == ("time", us(2025, 5, 5, 10))
 
 
+def test_conventions_are_priors_of_the_same_estimate(spark):
+    rows = [("eu", f"{d:02d}/{m:02d}/2025 10:00:00") for m in (1, 2, 3) for d in range(1, 28)] + [("eu", "03.04.2025 10:00"), ("eu", "04.13.2025 10:00"), (None, "03/04/2025 10:00")]
+    df = spark.createDataFrame([(s, t, "UTC") for s, t in rows], "src string, t string, z string")
+    got = {r["t"]: r for r in timestamps.normalise(df, "src", "t", "z").collect()}
+    assert got["03/02/2025 10:00:00"]["utc_us"] == us(2025, 3, 2, 10) and got["03/02/2025 10:00:00"]["posterior"] == 1.0
+    assert got["03.04.2025 10:00"]["utc_us"] == us(2025, 4, 3, 10) and got["03/04/2025 10:00"]["reading"] == "slash_mdy"
+    for t in ("27/03/2025 10:00:00", "04.13.2025 10:00"):
+        assert (got[t]["outcome"], got[t]["utc_us"], got[t]["reading"], got[t]["posterior"]) == ("no_time", None, None, None)
+    mixed = timestamps._mixture(["slash_mdy|slash_dmy", "slash_dmy", "iso", ""], [5, 900, 1, 2], timestamps.FIXED_CONVENTIONS, {r.name: timestamps.FIXED_CONVENTIONS.priors.get(r.name, 1.0) for r in timestamps.READINGS})
+    assert mixed == [("slash_mdy", 1.0), (None, None), ("iso", 1.0), (None, None)]
+
+
+def test_lookup_of_hot_and_cold_keys(spark):
+    from runweave.operators.joins import lookup
+
+    rows = spark.createDataFrame([("hot", 1, i, "clash") for i in range(500)] + [(None, 2, 7, "clash"), ("a", 1, 8, "x"), ("b", 1, 9, "x")], "k string, j int, i int, v string")
+    facts = spark.createDataFrame([("hot", 1, "h", 500), (None, 2, "n", 1), ("a", 1, "a", 1), ("a", 2, "z", 1)], "fk string, fj int, v string, n long")
+    for hot in (0.0, 0.1, 1.0):
+        out = lookup(rows, facts, {"k": "fk", "j": "fj"}, "n", ["v"], hot)
+        assert out.columns == ["k", "j", "i", "v"] and {(r["k"], r["v"]) for r in out.collect()} == {("hot", "h"), (None, "n"), ("a", "a"), ("b", None)} and out.count() == 503
+    assert lookup(rows.limit(0), facts.limit(0), {"k": "fk", "j": "fj"}, "n", ["v"]).count() == 0
+
+
 def test_quoting(spark):
     cases = {
         'a,b': (["a", "b"], True), '"a,b",c': (["a,b", "c"], True), '"a ""b""",c': (['a "b"', "c"], True), '"""x"""': (['"x"'], True), '""': ([""], True),
