@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runweave.session import cut
+from runweave.session import Pile, cut
 
 
-def waves(scopes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def waves(scopes: DataFrame, edges: DataFrame) -> DataFrame:
     """(scope, job, wave): the length of the longest chain of dependencies that a job ends within its scope; 1 without any.
 
     scopes: scope, job. edges: job, dep. Dependencies outside the scope and on
@@ -17,44 +17,41 @@ def waves(scopes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> Dat
     those that depend on one, keep the longest chain that is free of it as far
     as it was known when nothing but cycles still changed.
     """
+    kinds = dict(scopes.dtypes)
+    key = f"scope {kinds['scope']}, job {kinds['job']}"
     s = scopes.distinct()
     inner = edges.where("job != dep").join(s, "job").join(s.select("scope", F.col("job").alias("dep")), ["scope", "dep"])
-    inner = cut(inner.select("scope", "job", "dep").distinct())
+    waiting = inner = cut(inner.select("scope", "job", "dep").distinct())
     # peel off, from jobs without dependencies on: a job's wave is fixed when all its dependencies' waves are
-    waiting = inner
-    fixed = cut(s.join(inner.select("scope", "job"), ["scope", "job"], "left_anti").withColumn("wave", F.lit(1)))
-    done, front = fixed, fixed
-    best = None
-    for _ in range(max_rounds):
-        reached = waiting.join(front.select("scope", F.col("job").alias("dep"), "wave"), ["scope", "dep"], "left")
-        open_ = cut(reached)
-        if open_.where("wave is not null").isEmpty():
+    front = cut(s.join(inner.select("scope", "job"), ["scope", "job"], "left_anti").withColumn("wave", F.lit(1)))
+    done, known = Pile(scopes.sparkSession, "waves", f"{key}, wave int"), Pile(scopes.sparkSession, "gains", f"{key}, w int")
+    done.add(front)
+    while True:
+        open_ = cut(waiting.join(front.select("scope", F.col("job").alias("dep"), "wave"), ["scope", "dep"], "left"))
+        reached = open_.where("wave is not null")
+        if reached.isEmpty():
             break
-        gains = open_.where("wave is not null").groupBy("scope", "job").agg((F.max("wave") + 1).alias("w"))
-        best = cut(gains if best is None else best.unionByName(gains).groupBy("scope", "job").agg(F.max("w").alias("w")))
+        known.add(reached.groupBy("scope", "job").agg((F.max("wave") + 1).alias("w")))
         waiting = open_.where("wave is null").select("scope", "job", "dep")
-        front = cut(best.join(waiting.select("scope", "job").distinct(), ["scope", "job"], "left_anti").select("scope", "job", F.col("w").alias("wave")))
-        best = best.join(front.select("scope", "job"), ["scope", "job"], "left_anti")
-        done = done.unionByName(front)
-    rest = s.join(done.select("scope", "job"), ["scope", "job"], "left_anti")
-    if best is not None:
-        rest = rest.join(best, ["scope", "job"], "left")
-    else:
-        rest = rest.withColumn("w", F.lit(None).cast("int"))
-    return done.unionByName(rest.select("scope", "job", F.coalesce("w", F.lit(1)).alias("wave")))
-
-
-def closure(seeds: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+        free = reached.select("scope", "job").distinct().join(waiting.select("scope", "job").distinct(), ["scope", "job"], "left_anti")
+        front = cut(known.rows().join(free, ["scope", "job"]).groupBy("scope", "job").agg(F.max("w").alias("wave")))
+        done.add(front)
+    fixed = done.rows()
+    best = known.rows().groupBy("scope", "job").agg(F.max("w").alias("w"))
+    rest = s.join(fixed.select("scope", "job"), ["scope", "job"], "left_anti").join(best, ["scope", "job"], "left")
+    return fixed.unionByName(rest.select("scope", "job", F.coalesce("w", F.lit(1)).alias("wave")))
+
+
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(job): all that the seeds depend on, directly or through others; a seed only if another one leads to it or it lies on a cycle.
 
     Each round follows only what was new in the last one.
     """
     e = cut(edges.where("job != dep").select("job", "dep").distinct())
-    seen = new = cut(seeds.distinct().join(e, "job").select(F.col("dep").alias("job")).distinct())
-    for _ in range(max_rounds):
+    seen = Pile(seeds.sparkSession, "closure", f"job {dict(edges.dtypes)['job']}")
+    new = cut(seeds.distinct().join(e, "job").select(F.col("dep").alias("job")).distinct())
+    while not new.isEmpty():
+        seen.add(new)
         step = new.join(e, "job").select(F.col("dep").alias("job")).distinct()
-        new = cut(step.join(seen, "job", "left_anti"))
-        if new.isEmpty():
-            break
-        seen = cut(seen.unionByName(new))
-    return seen
+        new = cut(step.join(seen.rows(), "job", "left_anti"))
+    return seen.rows()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runweave.operators.graphs import waves
-from runweave.session import cut
+from runweave.session import Pile, cut
 
 
 def simulate(jobs: DataFrame, edges: DataFrame, cycles: int, seed: int) -> DataFrame:
@@ -24,11 +24,13 @@ def simulate(jobs: DataFrame, edges: DataFrame, cycles: int, seed: int) -> DataF
     tried = cut(tried.select("cycle", "job", "wave", (draw < chance).alias("fails")))
     # what a failure blocks: everything that depends on it, directly or through others, in its cycle
     e = edges.where("job != dep").select(F.col("dep").alias("from"), F.col("job").alias("to"))
-    blocked = front = cut(tried.where("fails").select("cycle", F.col("job").alias("from")).join(e, "from").select("cycle", F.col("to").alias("job")).distinct())
+    front = cut(tried.where("fails").select("cycle", F.col("job").alias("from")).join(e, "from").select("cycle", F.col("to").alias("job")).distinct())
+    pile = Pile(jobs.sparkSession, "blocked", f"cycle int, job {dict(rows.dtypes)['job']}")
     while not front.isEmpty():
+        pile.add(front)
         step = front.withColumnRenamed("job", "from").join(e, "from").select("cycle", F.col("to").alias("job")).distinct()
-        front = cut(step.join(blocked, ["cycle", "job"], "left_anti"))
-        blocked = cut(blocked.unionByName(front))
+        front = cut(step.join(pile.rows(), ["cycle", "job"], "left_anti"))
+    blocked = pile.rows()
     out = tried.join(blocked.withColumn("stopped", F.lit(True)), ["cycle", "job"], "left")
     outcome = F.when(F.col("stopped"), "BLOCKED").when(F.col("fails"), "FAILURE").otherwise("SUCCESS")
     return out.select("cycle", "job", outcome.alias("outcome"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -22,6 +23,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -81,3 +83,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; Parquet prunes columns and takes pushed filters."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Pile:
+    """Rows added round by round to a folder of the shared checkpoint folder; reading them is one scan after any number of rounds."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str) -> None:
+        self.spark, self.schema = spark, schema
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        spark.createDataFrame([], schema).write.parquet(self.path)
+
+    def add(self, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
