@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Variables that stand for dates and times and are no business globals.
-DATE_VARIABLES = ("DATE", "TIME", "YYYY", "MM", "DD", "HH", "MI", "SS", "YYYYMMDD", "MMDDYYYY", "DAY", "MONTH", "YEAR", "AUTORUN")
+DATE_VARIABLES = ("DATE", "YEAR", "MM", "DD", "TIME", "HH", "MIN", "ODATE", "OYEAR", "OMM", "ODD", "OTIME", "TIMESTAMP", "UNIX_TIMESTAMP")
 # Units of sizes in bytes.
 UNITS = {"": 1024, "B": 1, "K": 1 << 10, "KB": 1 << 10, "M": 1 << 20, "MB": 1 << 20, "G": 1 << 30, "GB": 1 << 30}
 

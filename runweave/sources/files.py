@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runweave.functions.texts import strip
 from runweave.operators import rejects
+from runweave.operators.numbering import numbered
+from runweave.session import cut
 from runweave.sources import jil_text
 
 _STANZA = (
@@ -109,23 +111,32 @@ def global_exports(files: DataFrame) -> DataFrame:
 
 
 def history_lines(spark: SparkSession, path: str, import_id: int, declared_timezone: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(lines, imports) of a run-history export, as operators.rejects reads them.
+    """(lines, imports) of one run-history export or a folder of them, as operators.rejects reads them.
 
-    The delimiter is the one of comma, tab and pipe that occurs most in the
-    first line that isn't blank; a first line that opens an object is JSON Lines.
-    The file itself is read in parallel; only its first lines come to the driver.
+    Files are imports of their own, numbered from import_id on in the order of
+    their paths; lines are numbered within their file from 1. A file's delimiter is the
+    one of comma, tab and pipe that occurs most in its first line that isn't blank; a
+    first line that opens an object is JSON Lines. Files are read in parallel and in
+    parts: a line's number is its place in its part and what the parts before it hold.
     """
-    text = spark.read.text(path).select(F.col("value").alias("raw_line"), F.monotonically_increasing_id().alias("row_id"))
-    first = text.where(F.trim("raw_line") != "").select("raw_line", "row_id").orderBy("row_id").limit(1).head()
-    header = (first["raw_line"] if first else "").lstrip("\ufeff")
-    counts = {k: header.count(d) for k, d in rejects.DELIMITERS.items()}
-    kind = "jsonl" if header.lstrip().startswith("{") else max(counts, key=counts.get)
-    if kind != "jsonl" and first:
-        text = text.where(F.col("row_id") > first["row_id"])
-    lines = text.select("row_id", F.lit(import_id).cast("long").alias("import_id"), F.col("row_id").alias("line_no"), "raw_line")
-    schema = "import_id long, file_format string, header_line string, declared_timezone string"
-    imports = spark.createDataFrame([(import_id, kind, None if kind == "jsonl" else header, declared_timezone)], schema)
-    return lines, imports
+    at = ["_file", "_block"]
+    text = spark.read.text(path).select(
+        F.col("value").alias("raw_line"), F.monotonically_increasing_id().alias("row_id"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")
+    )
+    parts = text.groupBy(*at).agg(F.min("row_id").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    text = text.join(parts.select(*at, "_first", before.alias("_before")), at)
+    text = text.select("row_id", "_file", "raw_line", (F.col("row_id") - F.col("_first") + F.col("_before") + 1).alias("line_no"))
+    first = F.min(F.when(F.trim("raw_line") != "", F.struct("line_no", "raw_line"))).alias("head")
+    files = numbered(text.groupBy("_file").agg(first), [F.col("_file")], "_nth")
+    header = F.coalesce(F.regexp_replace("head.raw_line", "^\ufeff", ""), F.lit(""))
+    count = lambda c: F.length(header) - F.length(F.replace(header, F.lit(c), F.lit("")))
+    comma, tab, pipe = (count(c) for c in rejects.DELIMITERS.values())
+    kind = F.when(F.ltrim(header).startswith("{"), "jsonl").when((comma >= tab) & (comma >= pipe), "csv").when(tab >= pipe, "tsv").otherwise("pipe")
+    files = cut(files.select("_file", (F.col("_nth") - 1 + import_id).alias("import_id"), kind.alias("file_format"), header.alias("header_line"), F.col("head.line_no").alias("_head")))
+    imports = files.select("import_id", "file_format", F.when(F.col("file_format") != "jsonl", F.col("header_line")).alias("header_line"), F.lit(declared_timezone).cast("string").alias("declared_timezone"))
+    lines = text.join(files, "_file").where((F.col("file_format") == "jsonl") | (F.col("line_no") > F.col("_head")))
+    return lines.select("row_id", "import_id", "line_no", "raw_line"), imports
 
 
 def idempotent_append(target: DataFrame, new: DataFrame, key: str, replace: bool = False) -> DataFrame:

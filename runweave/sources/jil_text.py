@@ -11,42 +11,62 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-# Sub-commands by what they act on.
-_VERBS = {
-    "job": "insert update delete override rename", "box": "delete", "machine": "insert update delete", "job_type": "insert update delete",
-    "monbro": "insert update delete", "blob": "insert update delete", "glob": "insert update delete", "xinst": "insert update delete",
-    "resource": "insert update delete", "connectionprofile": "insert update delete", "calendar": "insert update delete",
-    "view": "insert modify delete", "filter": "insert modify delete", "alert_policy": "insert modify delete", "user": "delete",
-}
-DIRECTIVES = frozenset(f"{v}_{o}" for o, vs in _VERBS.items() for v in vs.split())
-# Attributes that may begin a statement within a line; the families below add all their members.
+# The sub-commands that begin a stanza.
+DIRECTIVES = frozenset(
+    """delete_alert_policy delete_blob delete_box delete_calendar delete_connectionprofile delete_filter delete_glob delete_job
+    delete_job_type delete_machine delete_monbro delete_resource delete_user delete_view delete_xinst insert_alert_policy insert_blob
+    insert_calendar insert_connectionprofile insert_filter insert_glob insert_job insert_job_type insert_machine insert_monbro
+    insert_resource insert_view insert_xinst modify_alert_policy modify_filter modify_view override_job rename_job update_blob
+    update_calendar update_connectionprofile update_glob update_job update_job_type update_machine update_monbro update_resource
+    update_xinst""".split()
+)
+# Attributes that may begin a statement within a line. Installations know more
+# (one for each option of each job type): parse() takes them as a parameter, and names that
+# begin a line elsewhere in the text, or stand after two blanks and have an underscore, count too.
 ATTRIBUTES = frozenset(
-    "agent_name alarm_if_fail alarm_if_terminated application auth_string auto_delete auto_hold avg_runtime blob_file blob_input blob_type "
-    "box_failure box_name box_success box_terminator chk_files command condition connect_string continuous cpu_usage date_conditions "
-    "days_of_week description disk_drive disk_space elevated envvars exclude_calendar fail_codes heartbeat_interval inside_range interactive "
-    "job_class job_load job_name job_terminator job_type machine max_exit_success max_load max_run_alarm min_run_alarm must_complete_times "
-    "must_start_times n_retrys new_name node_name opsys owner permission priority profile res_type resources run_calendar run_window "
-    "send_notification send_report service_desk shell sp_arg sp_name sql_command start_mins start_times std_err_file std_in_file std_out_file "
-    "success_codes tablename term_run_time timezone ulimit xcrypt_type xmachine xmanager xport xtype".split()
+    """agent_name alarm alarm_if_fail alarm_if_terminated alarm_type amount application auth_string auto_delete auto_hold
+    avg_runtime blob_file blob_input blob_mode blob_name blob_type box_failure box_name box_success box_terminator calendar_name
+    character_code chk_files command condition connect_string connectionprofile_type continuous cpu_usage date_conditions dates
+    days_of_week dbtype description destination_file disk_drive disk_format disk_space elevated encryption_type end_date
+    endpoint_url envvars exclude_calendar factor fail_codes filter_type ftp_local_name ftp_local_user ftp_remote_name
+    ftp_server_name ftp_server_port ftp_transfer_direction ftp_transfer_type ftp_use_ssl ftp_user_type global_name group
+    heartbeat_attempts heartbeat_freq heartbeat_interval i5_action i5_job_name i5_params inside_range interactive
+    ip_host ip_port ip_status job_class job_criteria job_filter job_load job_name job_status job_terminator job_type job_type_name
+    key_to_agent lower_boundary machine machine_method machine_name max_exit_success max_load max_run_alarm mbean_attr mbean_name
+    mbean_operation min_run_alarm monbro_name monbro_type monitor_cond monitor_mode monitor_type must_complete_times
+    must_start_times n_retrys new_name no_change node_name notification_alarm_types notification_emailaddress
+    notification_emailaddress_on_alarm notification_emailaddress_on_failure notification_emailaddress_on_success
+    notification_emailaddress_on_terminated notification_msg opsys oracle_args oracle_program owner permission ping_ports
+    ping_timeout poll_interval port priority process_name process_status profile profile_name ps_args ps_process_name
+    ps_process_type remove_references res_type resource_name resources results_file run_calendar run_external run_window sap_client
+    sap_job_class sap_job_name sap_step_parms scp_local_name scp_local_user scp_protocol scp_remote_name
+    scp_server_name scp_server_port scp_transfer_direction search_bw send_notification server service_desk service_name severity
+    shell snmp_host snmp_oid sp_arg sp_name sql_command start_date start_mins start_times std_err_file std_in_file
+    std_out_file status success_codes success_criteria success_pattern svcdesk_desc svcdesk_pri
+    svcdesk_sev tablename term_run_time text text_file_filter text_file_name timezone trigger_cond trigger_type type ulimit
+    upper_boundary url user_role watch_file watch_file_min_size watch_file_type watch_interval watch_no_change win_event_type
+    win_log_name win_service_name win_service_status ws_parameter wsdl_url xcrypt_type xmachine xmanager xport xtype""".split()
 )
-# Prefixes of attribute families.
-FAMILIES = (
-    "ftp_", "i5_", "informatica_", "j2ee_", "jmx_", "mbean_", "mf_", "monitor_", "notification_", "oracle_", "pa_", "ps_", "sap_", "scp_",
-    "snmp_", "sqlagent_", "success_criteria_", "svcdesk_", "text_file_", "watch_", "win_", "ws_", "zos_",
-)
+# Common words that begin a statement at the beginning of a line only.
+AMBIGUOUS = frozenset("active alarm failure filter force mode name restart running server sound starting status success suspended terminated text type view".split())
 # Attributes whose text may go on in the next line.
-FREE_TEXT = frozenset("command description condition box_success box_failure notification_msg resources".split())
-#: Attributes that add up when repeated, and what stands between; of others the last counts.
-JOINED = {"envvars": ", ", "sp_arg": "\n", "i5_params": "\n", "ws_parameter": "\n", "oracle_args": "\n", "ps_args": "\n", "j2ee_parameter": "\n"}
+FREE_TEXT = frozenset("box_failure box_success command condition description notification_msg resources".split())
+# Attributes that hold shell text, where an escaped quote stays as it is written.
+SHELL = frozenset(("command", "sql_command"))
+# Attributes that add up when repeated, and what stands between; of others the last counts.
+JOINED = {"envvars": ", ", "sp_arg": "\n", "sap_step_parms": "\n", "ws_parameter": "\n", "j2ee_parameter": "\n"}
+# Attributes that are spelled in mixed case; all others are lower case.
+MIXED_CASE = {"url": "URL", "wsdl_url": "WSDL_URL", "endpoint_url": "endpoint_URL", "ftp_use_ssl": "ftp_use_SSL"}
 _DIRECTIVE = re.compile(r"^\s*([A-Za-z]+_[A-Za-z_]+)\s*:\s*(.*)$", re.DOTALL)
 _START = re.compile(r"^\s*([A-Za-z][A-Za-z_0-9.\-]*)\s*:")
 _INLINE = re.compile(r"(?<=\s)([A-Za-z][A-Za-z_0-9]*)\s*:")
 _BLOB_OPEN, _BLOB_CLOSE = "<auto_blobt>", "</auto_blobt>"
 
 
-def known(name: str) -> bool:
+def canonical_key(name: str) -> str:
+    """An attribute's name as it is spelled: lower case but for a few."""
     n = name.lower()
-    return n in ATTRIBUTES or n.startswith(FAMILIES)
+    return MIXED_CASE.get(n, n)
 
 
 @dataclass
@@ -109,16 +129,24 @@ def _blanked(text: str) -> str:
     return "".join(out)
 
 
-def _value(text: str) -> str:
+def _value(text: str, key: str = "") -> str:
     """A value without its quotes and escapes."""
     v = text.strip()
     if len(v) >= 2 and v[0] == '"' and v[-1] == '"' and not v.endswith('\\"'):
         v = v[1:-1]
-    return re.sub(r"\\([:,\"])", r"\1", v)
+    return re.sub(r"\\([:,])" if key.lower() in SHELL else r"\\([:,\"])", r"\1", v)
+
+
+def _begins(name: str, line: str, at: int, known: frozenset[str], header: bool) -> bool:
+    """Whether a name within a line begins a statement."""
+    n = name.lower()
+    if n in AMBIGUOUS:
+        return header
+    return n in known or "_" in n and line[:at].endswith("  ")
 
 
-def _statements(line: str, header: bool) -> list[tuple[str, str]]:
-    """name: value statements of a line; after the first, only known names begin a new one."""
+def _statements(line: str, header: bool, known: frozenset[str] = ATTRIBUTES) -> list[tuple[str, str]]:
+    """name: value statements of a line; after the first, only known names begin a new one, or those set apart by two blanks."""
     first = _START.match(line)
     if not first:
         return []
@@ -126,20 +154,28 @@ def _statements(line: str, header: bool) -> list[tuple[str, str]]:
     cuts = [first.start(1)]
     for m in _INLINE.finditer(line, first.end()):
         quotes = line.count('"', 0, m.start()) - line.count('\\"', 0, m.start())
-        if quotes % 2 == 0 and (known(m.group(1)) or header and m.group(1).lower() == "job_type"):
+        if quotes % 2 == 0 and _begins(m.group(1), line, m.start(), known, header):
             spans.append((m.group(1), m.end()))
             cuts.append(m.start())
     ends = [*cuts[1:], len(line)]
-    return [(name.lower(), _value(line[a:b])) for (name, a), b in zip(spans, ends, strict=True)]
+    return [(canonical_key(name), _value(line[a:b], name)) for (name, a), b in zip(spans, ends, strict=True)]
+
+
+def _verb(word: str) -> bool:
+    return word.split("_")[0] in ("insert", "update", "delete", "override", "rename", "modify")
 
 
-def parse(text: str) -> list[Stanza]:
+def parse(text: str, attributes: frozenset[str] = frozenset()) -> list[Stanza]:
     """Stanzas of a file, in order; their raw texts put together are the text.
 
     Lines before the first stanza belong to a stanza without directive, unless
     they are blank or comments, which go to the stanza that follows. An unknown
-    sub-command is quarantined and doesn't add to the stanza before it.
+    sub-command is quarantined and doesn't add to the stanza before it. A quoted
+    text may go on over any number of lines; its closing quote must come before
+    the next stanza, else only its own line is taken. attributes: names (in lower
+    case) that are known beside ATTRIBUTES.
     """
+    vocabulary = ATTRIBUTES | attributes
     raw = text.splitlines(keepends=True)
     code = _blanked(text.replace("\ufeff", " ", 1) if text.startswith("\ufeff") else text)
     lines = code.splitlines()
@@ -147,6 +183,12 @@ def parse(text: str) -> list[Stanza]:
     now: Stanza | None = None
     begin = 1
     quoted = blob = False
+    firsts = [m.group(1).lower() if (m := _START.match(x)) else "" for x in lines]
+    known = vocabulary | {x for x in firsts if "_" in x and not _verb(x)}
+    # whether a quote comes before the next stanza, from each line on
+    closes = [False] * (len(lines) + 1)
+    for i in range(len(lines) - 1, -1, -1):
+        closes[i] = firsts[i] not in DIRECTIVES and ('"' in lines[i] or closes[i + 1])
     for n, line in enumerate(lines, 1):
         if blob or quoted:
             key, value = now.attrs[-1]
@@ -155,19 +197,18 @@ def parse(text: str) -> list[Stanza]:
                 blob = False
             if quoted and line.count('"') % 2:
                 quoted = False
-                now.attrs[-1] = (key, _value(now.attrs[-1][1]))
+                now.attrs[-1] = (key, _value(now.attrs[-1][1], key))
             continue
         if not line.strip() or line.lstrip().startswith("#"):
             continue
         m = _DIRECTIVE.match(line)
         word = m.group(1).lower() if m else ""
-        verb = word.split("_")[0] in ("insert", "update", "delete", "override", "rename", "modify")
-        if m and (word in DIRECTIVES or verb and not known(word)):
+        if m and (word in DIRECTIVES or _verb(word) and word not in vocabulary):
             if now is not None:
                 now.end = n - 1
                 out.append(now)
                 begin = n
-            head = _statements(line, True)
+            head = _statements(line, True, known)
             now = Stanza(word if word in DIRECTIVES else None, head[0][1] or None, begin)
             now.attrs += head[1:]
             if word not in DIRECTIVES:
@@ -175,7 +216,7 @@ def parse(text: str) -> list[Stanza]:
             elif not head[0][1]:
                 now.issues.append(("error", "missing_name", word, n))
             continue
-        statements = _statements(line, False)
+        statements = _statements(line, False, known)
         if now is None:
             now = Stanza(None, None, begin)
         if statements:
@@ -184,11 +225,11 @@ def parse(text: str) -> list[Stanza]:
             if _BLOB_OPEN in value and _BLOB_CLOSE not in value:
                 blob = True
             elif (value.count('"') - value.count('\\"')) % 2:
-                quoted = any('"' in x for x in lines[n : n + 200])
+                quoted = closes[n]
                 if not quoted:
                     now.issues.append(("warning", "unbalanced_quote", key, n))
             for k, _ in statements:
-                if not known(k):
+                if k.lower() not in vocabulary:
                     now.issues.append(("warning", "unknown_attribute", k, n))
         elif now.attrs and now.attrs[-1][0] in FREE_TEXT:
             key, value = now.attrs[-1]

@@ -145,3 +145,43 @@ def test_simulation_is_reproducible(spark):
     assert a == b and len(a) == 200
     bad = {(c, j) for c, j, o in a if o != "SUCCESS"}
     assert all((c, f"n{i}") in bad for c, j in bad for i in range(1, 40) if f"n{i // 2}" == j and i // 2 != i)
+
+
+def test_history_folders_number_lines_by_file(spark, tmp_path):
+    d = tmp_path / "exports"
+    d.mkdir()
+    (d / "a.csv").write_text("\nJob,Status,Start\n" + "".join(f"j{i},SU,2025-01-01T00:00:00Z\n" for i in range(500)))
+    (d / "b.txt").write_text("job|status|start\nj|SU|x\n")
+    (d / "c.jsonl").write_text('{"job":"j"}\n\n{"job":"k"}\n')
+    (d / "empty.csv").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # files in parts
+    try:
+        lines, imports = files.history_lines(spark, str(d), 7, "UTC")
+        got = {(r["import_id"], r["line_no"]): r["raw_line"] for r in lines.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r["import_id"]: (r["file_format"], r["header_line"]) for r in imports.collect()} == {7: ("csv", "Job,Status,Start"), 8: ("pipe", "job|status|start"), 9: ("jsonl", None)}
+    assert all(got[7, i + 3] == f"j{i},SU,2025-01-01T00:00:00Z" for i in range(500))
+    assert {k: v for k, v in got.items() if k[0] > 7} == {(8, 2): "j|SU|x", (9, 1): '{"job":"j"}', (9, 2): "", (9, 3): '{"job":"k"}'}
+
+
+def test_attributes_in_one_line_and_long_quotes():
+    one = jil_text.parse("insert_job: a   job_type: CMD\nip_host: h1  ip_port: 80\nURL: http://x\ncommand: echo \\\"hi\\\" my_own: 1\ndescription: Server type: web\nmy_own: 2\n")[0]
+    assert one.attrs == [("job_type", "CMD"), ("ip_host", "h1"), ("ip_port", "80"), ("URL", "http://x"), ("command", 'echo \\"hi\\"'), ("my_own", "1"), ("description", "Server type: web"), ("my_own", "2")]
+    assert [i[1] for i in one.issues] == ["unknown_attribute", "unknown_attribute", "repeated_attribute"]
+    assert not [i for i in jil_text.parse("insert_job: a\nmy_own: 2\n", frozenset(["my_own"]))[0].issues]
+    text = 'insert_job: a\ndescription: "x\n' + "l\n" * 260 + 'end"\nowner: z\ninsert_job: b\ndescription: "open\nowner: q\n'
+    a, b = jil_text.parse(text)
+    assert a.merged()["description"].count("\n") == 261 and a.merged()["owner"] == "z" and not a.issues
+    assert b.merged()["owner"] == "q" and b.issues[0][1] == "unbalanced_quote"
+    assert jil_text.parse("insert_job: a\nsap_step_parms: x\nsap_step_parms: y\ni5_params: p\ni5_params: q\n")[0].merged() == {"sap_step_parms": "x\ny", "i5_params": "q"}
+
+
+def test_rows_are_numbered_in_order(spark):
+    from runweave.operators.numbering import numbered
+
+    rows = [(f"n{i:04d}", i) for i in random.Random(1).sample(range(1000), 1000)]
+    df = spark.createDataFrame(rows, "name string, position int")
+    assert {r["name"]: r["position"] for r in numbered(df, [F.col("name")]).collect()} == {n: i + 1 for n, i in rows}
+    assert numbered(df.limit(0), [F.col("name")]).count() == 0
