@@ -78,16 +78,6 @@ def upstream_closure(spark: SparkSession, d: str) -> DataFrame:
     return graphs.closure(seeds, _edges(spark, d))
 
 
-@query("cross_box_dependencies", f"""WITH {CONDITIONS}, {_EDGES}, x AS (SELECT e.job, e.dep, a.box_name AS box, CASE WHEN b.job_type = 'BOX' THEN b.job_name ELSE b.box_name END AS dep_box FROM e JOIN jc a ON a.job_name = e.job JOIN jc b ON b.job_name = e.dep)
-SELECT job, dep, dep_box FROM x WHERE dep_box IS NOT NULL AND dep_box IS DISTINCT FROM box""")
-def cross_box_dependencies(spark: SparkSession, d: str) -> DataFrame:
-    rows = conditions(spark, d)
-    mine = rows.select(F.col("job_name").alias("job"), F.col("box_name").alias("box"))
-    theirs = rows.select(F.col("job_name").alias("dep"), F.when(F.col("job_type") == "BOX", F.col("job_name")).otherwise(F.col("box_name")).alias("dep_box"))
-    out = _edges(spark, d).join(mine, "job").join(theirs, "dep")
-    return out.where(F.col("dep_box").isNotNull() & ~F.col("dep_box").eqNullSafe(F.col("box"))).select("job", "dep", "dep_box")
-
-
 @query("job_depends", f"WITH {CONDITIONS}, {_EDGES} SELECT job, 'needs' AS direction, dep AS other FROM e UNION ALL SELECT dep, 'needed_by', job FROM e")
 def job_depends(spark: SparkSession, d: str) -> DataFrame:
     e = _edges(spark, d)
@@ -119,89 +109,6 @@ def box_descendants(spark: SparkSession, d: str) -> DataFrame:
     return pairs.where("distance <= 2").select(F.col("ancestor_name").alias("box"), F.col("name").alias("job_name"), F.col("distance").alias("level"))
 
 
-_SIZE = """z AS (SELECT jc.job_name, jc.box_name, jc.job_type, CASE
-  WHEN job_type = 'FTP' OR contains(coalesce(condition, ''), '^') OR (job_type = 'BOX' AND coalesce(n, 0) > 15) THEN 'XL'
-  WHEN regexp_matches(coalesce(condition, ''), '\\(\\s*\\w[\\w_]+\\s*,\\s*[0-9]+') OR len(condition) - len(translate(condition, '&|', '')) >= 3 THEN 'L'
-  WHEN job_type = 'FILEWATCH' OR len(condition) - len(translate(condition, '&|', '')) BETWEEN 1 AND 2 OR contains(command, '%%REGION%%') THEN 'M'
-  WHEN job_type = 'BOX' OR condition IS NOT NULL THEN 'S' ELSE 'XS' END AS size
-  FROM jc LEFT JOIN (SELECT box_name AS b, count(*) AS n FROM jc WHERE box_name IS NOT NULL GROUP BY 1) ch ON ch.b = jc.job_name)"""
-_HOURS = {"XL": 60, "L": 24, "M": 8, "S": 4, "XS": 2}
-_HOURS_SQL = "CASE size WHEN 'XL' THEN 60 WHEN 'L' THEN 24 WHEN 'M' THEN 8 WHEN 'S' THEN 4 ELSE 2 END"
-
-
-def sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Size of each job by the signals in its definition: the first tier that has any."""
-    rows = conditions(spark, d)
-    children = rows.where("box_name is not null").groupBy(F.col("box_name").alias("job_name")).agg(F.count("*").alias("n"))
-    c, kind = F.col("condition"), F.col("job_type")
-    ops = F.coalesce(X.operator_count(c), F.lit(0))
-    xl = (kind == "FTP") | F.coalesce(c.contains("^"), F.lit(False)) | ((kind == "BOX") & (F.coalesce("n", F.lit(0)) > 15))
-    large = F.coalesce(X.has_look_back(c), F.lit(False)) | (ops >= 3) | (F.size(X.business_globals(F.col("command"))) >= 3)
-    medium = (kind == "FILEWATCH") | ops.between(1, 2) | (F.size(X.business_globals(F.col("command"))) >= 1)
-    size = F.when(xl, "XL").when(large, "L").when(medium, "M").when((kind == "BOX") | c.isNotNull(), "S").otherwise("XS")
-    return rows.join(children, "job_name", "left").withColumn("size", size)
-
-
-def _hours():
-    out = F.lit(None)
-    for s, h in _HOURS.items():
-        out = F.when(F.col("size") == s, h).otherwise(out)
-    return out
-
-
-@query("job_size", f"WITH {CONDITIONS}, {_SIZE} SELECT job_name, size FROM z")
-def job_size(spark: SparkSession, d: str) -> DataFrame:
-    return sizes(spark, d).select("job_name", "size")
-
-
-@query("size_counts", f"WITH {CONDITIONS}, {_SIZE} SELECT s.size, count(z.job_name) AS n_jobs FROM (VALUES ('XL'), ('L'), ('M'), ('S'), ('XS')) s(size) LEFT JOIN z ON z.size = s.size GROUP BY 1")
-def size_counts(spark: SparkSession, d: str) -> DataFrame:
-    all_ = spark.range(1).select(F.explode(F.array(*[F.lit(s) for s in _HOURS])).alias("size"))
-    return all_.join(sizes(spark, d).groupBy("size").agg(F.count("*").alias("n")), "size", "left").select("size", F.coalesce("n", F.lit(0)).alias("n_jobs"))
-
-
-@query("effort_overhead", f"""WITH {CONDITIONS}, {_SIZE}, t AS (SELECT CAST(sum({_HOURS_SQL}) AS BIGINT) AS raw FROM z)
-SELECT raw, CAST(floor(raw * 0.2::DOUBLE) AS BIGINT) AS platform, CAST(floor(raw * 0.3::DOUBLE) AS BIGINT) AS testing, CAST(floor(raw * 0.15::DOUBLE) AS BIGINT) AS pm, CAST(floor(raw * 0.1::DOUBLE) AS BIGINT) AS training FROM t""")
-def effort_overhead(spark: SparkSession, d: str) -> DataFrame:
-    t = sizes(spark, d).agg(F.sum(_hours()).alias("raw"))
-    return t.select("raw", *[F.expr(f"cast(raw * {x}D as bigint)").alias(n) for n, x in (("platform", 0.2), ("testing", 0.3), ("pm", 0.15), ("training", 0.1))])
-
-
-@query("box_effort_breakdown", f"""WITH {CONDITIONS}, {_SIZE} SELECT coalesce(box_name, '(top-level)') AS box, count(*) AS job_count, CAST(sum({_HOURS_SQL}) AS BIGINT) AS effort_h, count(*) FILTER (size = 'XL') AS xl, count(*) FILTER (size = 'L') AS l,
-count(*) FILTER (size = 'M') AS m, count(*) FILTER (size = 'S') AS s, count(*) FILTER (size = 'XS') AS xs FROM z GROUP BY 1""")
-def box_effort_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    rows = sizes(spark, d).groupBy(F.coalesce("box_name", F.lit("(top-level)")).alias("box"))
-    return rows.agg(F.count("*").alias("job_count"), F.sum(_hours()).cast("long").alias("effort_h"), *[F.count_if(F.col("size") == s).alias(s.lower()) for s in _HOURS])
-
-
-@query("gap_tags", f"""WITH {CONDITIONS} SELECT job_name, unnest(list_filter([CASE WHEN contains(condition, '^') THEN 'cross-instance-event' END, CASE WHEN job_type = 'FTP' THEN 'ftp-db-jobtype' END, CASE WHEN job_type = 'FILEWATCH' THEN 'file-watcher' END,
-CASE WHEN contains(command, '%%REGION%%') THEN 'global-variables' END, CASE WHEN regexp_matches(condition, ', [1-9]') THEN 'look-back-condition' END, CASE WHEN contains(condition, 'e(job') AND contains(condition, ' = 0') THEN 'exit-code-condition' END,
-CASE WHEN contains(condition, 'v(') THEN 'global-value-condition' END], lambda x: x IS NOT NULL)) AS tag FROM jc""")
-def gap_tags(spark: SparkSession, d: str) -> DataFrame:
-    """Features of each job that need work in a migration, from the parsed condition where it is one."""
-    known = columns.parsed(conditions(spark, d), "condition").withColumnRenamed("condition", "_c")
-    rows = conditions(spark, d)
-    rows = rows.join(known, rows["condition"] == known["_c"], "left")
-    has = lambda f: F.coalesce(F.exists("steps", f), F.lit(False))
-    tags = F.array_compact(
-        F.array(
-            F.when(has(lambda s: s["instance"].isNotNull()), "cross-instance-event"), F.when(F.col("job_type").isin("FTP", "DB", "I5"), "ftp-db-jobtype"),
-            F.when(F.col("job_type") == "FILEWATCH", "file-watcher"), F.when(F.size(X.business_globals(F.col("command"))) > 0, "global-variables"),
-            F.when(has(lambda s: s["hours"] > 0), "look-back-condition"), F.when(has(lambda s: s["kind"] == "exit"), "exit-code-condition"),
-            F.when(has(lambda s: s["kind"] == "value"), "global-value-condition"), F.when(has(lambda s: s["test"] == "notrunning"), "notrunning-condition"),
-        )
-    )
-    return rows.select("job_name", F.explode(tags).alias("tag"))
-
-
-@query("first_of_pattern", f"WITH {CONDITIONS}, {_SIZE} SELECT job_name, CASE WHEN row_number() OVER (PARTITION BY size, job_type ORDER BY job_name) = 1 THEN 'DESIGN' ELSE 'ADAPTATION' END AS role FROM z")
-def first_of_pattern(spark: SparkSession, d: str) -> DataFrame:
-    """The first job of each pattern in order of names; its minimum is combined map-side instead of ranking the group."""
-    rows = sizes(spark, d).select("job_name", "size", "job_type")
-    first = rows.groupBy("size", "job_type").agg(F.min("job_name").alias("first"))
-    return rows.join(first, ["size", "job_type"]).select("job_name", F.when(F.col("job_name") == F.col("first"), "DESIGN").otherwise("ADAPTATION").alias("role"))
-
-
 @query("command_dialect", f"""WITH {JOBS} SELECT job_name, CASE WHEN contains(command, '.ksh') THEN 'ksh' WHEN contains(command, '.pl') THEN 'perl' WHEN contains(command, '.py') THEN 'python' WHEN contains(command, '.sh') THEN 'bash' ELSE 'none' END AS dialect,
 len(regexp_extract_all(command, '(?:^|\\s)(/\\S+\\.\\w+)', 1)) AS n_absolute FROM j WHERE command IS NOT NULL""")
 def command_dialect(spark: SparkSession, d: str) -> DataFrame:

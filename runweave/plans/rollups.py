@@ -28,14 +28,6 @@ def box_worst_status(spark: SparkSession, d: str) -> DataFrame:
     return pairs.join(worst, "node").groupBy(F.col("ancestor_name").alias("box")).agg(F.max("w").alias("worst"), F.count("*").alias("n_below"))
 
 
-@query("report_order", f"""WITH {CONDITIONS}, o AS (SELECT a.job_name, concat_ws('/', b.box_name, a.box_name, a.job_name) AS path FROM jc a LEFT JOIN jc b ON b.job_name = a.box_name)
-SELECT job_name, path FROM o""")
-def report_order(spark: SparkSession, d: str) -> DataFrame:
-    """The path that puts jobs in the order of a depth-first walk, siblings by name, when sorted by it."""
-    p = hierarchy.paths(conditions(spark, d).select("job_name", "box_name"), F.col("job_name"), F.col("box_name"))
-    return p.select(F.col("name").alias("job_name"), "path").orderBy("path")
-
-
 @query("machine_load", f"""WITH {JOBS} SELECT machine, count(*) FILTER (status IN (1, 3)) AS active, greatest(10 - count(*) FILTER (status IN (1, 3)), 0) AS available, count(*) FILTER (status IN (1, 3)) >= 10 AS saturated
 FROM j WHERE machine IS NOT NULL GROUP BY 1""")
 def machine_load(spark: SparkSession, d: str) -> DataFrame:
