@@ -78,3 +78,18 @@ def as_of(left: DataFrame, right: DataFrame) -> DataFrame:
     out = rows.where("key is not null and at is not null").join(carried, ["key", "slice"])
     out = out.withColumn("previous", F.greatest(F.max("v").over(running), F.col("carry")))
     return out.where("id is not null").select("id", "previous")
+
+
+def previous_value(df: DataFrame, key: str, at: Column, tie: str, value: str) -> DataFrame:
+    """df with previous: the value of the row before in the order of (at, tie) within the key, NULL for the first.
+
+    A key may hold a third of all rows: slices of time are sorted one by one,
+    and each takes over the last value of the slices before it.
+    """
+    rows = _sliced(df.withColumn("_at", F.unix_micros(at.cast("timestamp"))), [key], "_at")
+    last = rows.groupBy(key, "slice").agg(F.max_by(F.struct(value), F.struct("_at", tie)).alias("_l"))
+    before = Window.partitionBy(key).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(key, "slice", F.last("_l").over(before).alias("_l"))
+    within = Window.partitionBy(key, "slice").orderBy("_at", tie)
+    out = rows.join(carried, [key, "slice"]).withColumn("_p", F.lag(F.struct(value)).over(within))
+    return out.select(*df.columns, F.coalesce("_p", "_l")[value].alias("previous"))

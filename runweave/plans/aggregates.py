@@ -91,12 +91,14 @@ def risk_counts(spark: SparkSession, d: str) -> DataFrame:
     return levels.join(counts, "risk", "left").select("risk", F.coalesce("n", F.lit(0)).alias("n_jobs"))
 
 
-@query("workload_totals", f"""WITH {RUNS}, t AS (SELECT source, count(*) AS total_runs, count(DISTINCT job_name) AS n_jobs, count(DISTINCT run_date) AS n_days FROM r GROUP BY source)
-SELECT *, CAST(round(total_runs / n_jobs / n_days * 10000) AS BIGINT) AS runs_per_job_day_e4, n_days >= 7 AS sufficient_window FROM t""")
+@query("workload_totals", f"""WITH {RUNS}, t AS (SELECT source, count(*) AS total_runs, count(DISTINCT job_name) AS n_jobs, count(DISTINCT run_date) AS n_days, min(run_date) AS first_day, max(run_date) AS last_day,
+  CAST(sum(duration_secs) AS BIGINT) AS secs, count(duration_secs) AS timed, max(duration_secs) AS longest FROM r GROUP BY source)
+SELECT * EXCLUDE (secs, timed), CAST(round(total_runs / n_jobs / n_days * 10000) AS BIGINT) AS runs_per_job_day_e4, CAST(floor(secs * 10000.0::DOUBLE / timed / 60 + 0.5) AS BIGINT) AS avg_task_minutes_e4, n_days >= 7 AS sufficient_window FROM t""")
 def workload_totals(spark: SparkSession, d: str) -> DataFrame:
-    t = runs(spark, d).groupBy("source").agg(F.count("*").alias("total_runs"), F.countDistinct("job_name").alias("n_jobs"), F.countDistinct("run_date").alias("n_days"))
+    t = runs(spark, d).groupBy("source").agg(F.count("*").alias("total_runs"), F.countDistinct("job_name").alias("n_jobs"), F.countDistinct("run_date").alias("n_days"), F.min("run_date").alias("first_day"), F.max("run_date").alias("last_day"), F.sum("duration_secs").alias("secs"), F.count("duration_secs").alias("timed"), F.max("duration_secs").alias("longest"))
     per_day = F.col("total_runs") / F.col("n_jobs") / F.col("n_days")
-    return t.withColumns({"runs_per_job_day_e4": F.round(per_day * 10000).cast("long"), "sufficient_window": F.col("n_days") >= 7})
+    minutes = F.floor(F.col("secs") * F.lit(10000.0) / F.col("timed") / 60 + 0.5)
+    return t.withColumns({"runs_per_job_day_e4": F.round(per_day * 10000).cast("long"), "avg_task_minutes_e4": minutes.cast("long"), "sufficient_window": F.col("n_days") >= 7}).drop("secs", "timed")
 
 
 @query("first_source_with_runs", f"WITH {RUNS} SELECT source, count(*) AS n FROM r WHERE source IN ('imported', 'live') GROUP BY 1 ORDER BY CASE source WHEN 'imported' THEN 0 ELSE 1 END LIMIT 1")
@@ -169,6 +171,15 @@ def profile_sharing(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("label").agg(F.count("*").alias("n_jobs")).withColumn("shared", F.col("n_jobs") > 1)
 
 
+@query("burst_by_job", f"""WITH {JOBS}, t AS (SELECT job_name, unnest(start_times) AS t, generate_subscripts(start_times, 1) AS i FROM j), f AS (SELECT t, min(ROW(job_name, i)) AS first, count(DISTINCT job_name) AS n FROM t GROUP BY 1)
+SELECT t.job_name, arg_max(f.t, f.first) AS start_time, arg_max(f.n, f.first) AS n_jobs FROM t JOIN f USING (t) GROUP BY 1""")
+def burst_by_job(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs that start together: of several times of a job the one that comes up last in the estate's order of names counts."""
+    rows = jobs(spark, d).select("job_name", F.posexplode("start_times").alias("i", "start_time"))
+    first = rows.groupBy("start_time").agg(F.min(F.struct("job_name", "i")).alias("first"), F.countDistinct("job_name").alias("n"))
+    return rows.select("job_name", "start_time").join(first, "start_time").groupBy("job_name").agg(F.max_by(F.struct("start_time", "n"), "first").alias("x")).select("job_name", "x.start_time", F.col("x.n").alias("n_jobs"))
+
+
 @query("schedule_burst", f"WITH {JOBS}, t AS (SELECT job_name, unnest(start_times) AS t FROM j) SELECT t AS start_time, count(*) AS n_jobs, CASE WHEN count(*) > 30 THEN 'L' WHEN count(*) > 10 THEN 'M' WHEN count(*) > 5 THEN 'S' ELSE 'XS' END AS score FROM t GROUP BY 1")
 def schedule_burst(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n_jobs")
@@ -246,11 +257,27 @@ def latest_exit_code(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "job_runs").where("start_time is not null").groupBy("job_name").agg(last).select("job_name", "x.run_id", "x.exit_code")
 
 
-@query("nth_run", f"WITH {RUNS} SELECT job_name, run_id FROM r WHERE start_time IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY start_time, run_id) = 3")
+_NTH = "WITH {r} SELECT job_name, run_id FROM r WHERE start_time IS NOT NULL QUALIFY row_number() OVER (PARTITION BY job_name ORDER BY start_time {o}, run_id {o}) = {n}"
+
+
+def nth(rows: DataFrame, n: int) -> DataFrame:
+    """The n-th row of each job by start, the first being 1; negative numbers count from the end; 0 is the last. The limit on ranks is pushed below the shuffle as a group limit."""
+    back = n <= 0
+    place = max(abs(n), 1)
+    by = Window.partitionBy("job_name").orderBy(*([F.desc("start_time"), F.desc("run_id")] if back else ["start_time", "run_id"]))
+    return rows.where("start_time is not null").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= place).where(F.col("_n") == place).drop("_n")
+
+
+@query("nth_run", _NTH.format(r=RUNS, o="", n=3))
 def nth_run(spark: SparkSession, d: str) -> DataFrame:
-    """The third run of each job; the limit on ranks is pushed below the shuffle as a group limit."""
-    by_job = Window.partitionBy("job_name").orderBy("start_time", "run_id")
-    return runs(spark, d).where("start_time is not null").select("job_name", "run_id", F.row_number().over(by_job).alias("n")).where("n <= 3").where("n = 3").drop("n")
+    """The third run of each job."""
+    return nth(runs(spark, d).select("job_name", "run_id", "start_time"), 3).select("job_name", "run_id")
+
+
+@query("nth_run_from_end", _NTH.format(r=RUNS, o="DESC", n=2))
+def nth_run_from_end(spark: SparkSession, d: str) -> DataFrame:
+    """The last run but one of each job."""
+    return nth(runs(spark, d).select("job_name", "run_id", "start_time"), -2).select("job_name", "run_id")
 
 
 _POLICY = "SELECT object_name, file_id, seq FROM ujo_jil_stanza WHERE directive = 'insert_job' AND object_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY object_name ORDER BY file_id {o}, seq {o}) = 1"
@@ -274,15 +301,20 @@ def duplicate_policy_last(spark: SparkSession, d: str) -> DataFrame:
 @query("status_changes", f"""WITH {RUNS}, p AS (SELECT job_name, status, lag(status) OVER (PARTITION BY job_name ORDER BY start_time, run_id) AS old FROM r WHERE start_time IS NOT NULL)
 SELECT job_name, count(*) AS n_changes FROM p WHERE old <> status GROUP BY 1""")
 def status_changes(spark: SparkSession, d: str) -> DataFrame:
-    by_job = Window.partitionBy("job_name").orderBy("start_time", "run_id")
-    rows = runs(spark, d).where("start_time is not null").select("job_name", "status", F.lag("status").over(by_job).alias("old"))
-    return rows.where("old != status").groupBy("job_name").agg(F.count("*").alias("n_changes"))
+    rows = runs(spark, d).where("start_time is not null").select("job_name", "status", "start_time", "run_id")
+    rows = concurrency.previous_value(rows, "job_name", F.col("start_time"), "run_id", "status")
+    return rows.where("previous != status").groupBy("job_name").agg(F.count("*").alias("n_changes"))
 
 
-@query("min_run_candidates", f"WITH {JOBS}, {RUNS} SELECT r.run_id FROM r JOIN j USING (job_name) WHERE j.max_run_alarm > 0 AND r.duration_secs < 60")
+@query("min_run_candidates", f"""WITH {JOBS}, {RUNS}, l AS (SELECT max(end_time) AS t FROM r) SELECT r.run_id FROM r JOIN j USING (job_name), l
+WHERE j.term_run_time > 0 AND epoch_us(r.end_time) - epoch_us(r.start_time) < CAST(j.term_run_time AS BIGINT) * 15000000 AND r.end_time >= l.t - INTERVAL 7 DAY""")
 def min_run_candidates(spark: SparkSession, d: str) -> DataFrame:
-    limited = jobs(spark, d).where("max_run_alarm > 0").select("job_name")
-    return runs(spark, d).where("duration_secs < 60").join(limited, "job_name").select("run_id")
+    """Runs of the last week that ended sooner than their job's least run time (a quarter of its limit in minutes)."""
+    limited = jobs(spark, d).where("term_run_time > 0").select("job_name", (F.col("term_run_time").cast("long") * 15_000_000).alias("least"))
+    rows = runs(spark, d).where("end_time is not null")
+    last = rows.agg(F.max("end_time").alias("_t"))  # one row
+    rows = rows.crossJoin(F.broadcast(last)).where(F.col("end_time") >= F.col("_t") - F.expr("interval 7 day"))
+    return rows.join(limited, "job_name").where(_US("end_time") - _US("start_time") < F.col("least")).select("run_id")
 
 
 @query("auto_resolve", f"WITH {JOBS}, {RUNS}, {ALARMS} SELECT al.alarm_id FROM al JOIN j USING (job_name) WHERE al.cleared_at IS NULL AND al.alarm_type = 'ALARM_IF_FAIL' AND j.status = 4")

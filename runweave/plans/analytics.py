@@ -69,13 +69,13 @@ def dependency_wave(spark: SparkSession, d: str) -> DataFrame:
     return graphs.waves(scopes, _edges(spark, d))
 
 
-@query("upstream_closure", f"""WITH RECURSIVE {CONDITIONS}, {_EDGES}, u AS (SELECT job AS seed, dep AS job FROM e WHERE CAST(right(job, 7) AS INT) % 20 = 0 OR CAST(right(job, 7) AS INT) % 20 = 9 UNION SELECT u.seed, e.dep FROM u JOIN e ON e.job = u.job)
-SELECT DISTINCT job FROM u""")
+@query("upstream_closure", f"""WITH RECURSIVE {CONDITIONS}, {_EDGES}, u AS (SELECT job, dep FROM e WHERE job <> dep AND job NOT IN (SELECT dep FROM e WHERE job <> dep) UNION SELECT e.job, e.dep FROM u JOIN e ON e.job = u.dep WHERE e.job <> e.dep)
+SELECT DISTINCT dep AS job FROM u""")
 def upstream_closure(spark: SparkSession, d: str) -> DataFrame:
-    """All jobs that a set of seeds depends on, directly or through others."""
-    n = F.substring("job_name", -7, 7).cast("int") % 20
-    seeds = conditions(spark, d).where(n.isin(0, 9)).select(F.col("job_name").alias("job"))
-    return graphs.closure(seeds, _edges(spark, d))
+    """All that the ends of chains (jobs that no other one depends on) depend on, directly or through others."""
+    e = hierarchy.cut(_edges(spark, d).where("job != dep"))
+    ends = e.select("job").join(e.select(F.col("dep").alias("job")), "job", "left_anti")
+    return graphs.closure(ends, e)
 
 
 @query("job_depends", f"WITH {CONDITIONS}, {_EDGES} SELECT job, 'needs' AS direction, dep AS other FROM e UNION ALL SELECT dep, 'needed_by', job FROM e")
@@ -144,9 +144,10 @@ def timezone_to_utc(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "history_imports").select("import_id", F.unix_micros(local).alias("utc_us"))
 
 
-@query("run_date_check", f"WITH {RUNS} SELECT run_id FROM r WHERE run_date IS DISTINCT FROM CAST(start_time AS DATE) AND start_time IS NOT NULL")
+@query("run_date_check", f"WITH {RUNS} SELECT run_id FROM r WHERE run_date IS DISTINCT FROM CAST(timezone('America/New_York', timezone('UTC', start_time)) AS DATE) AND start_time IS NOT NULL")
 def run_date_check(spark: SparkSession, d: str) -> DataFrame:
-    return runs(spark, d).where(F.col("start_time").isNotNull() & ~F.col("run_date").eqNullSafe(F.to_date("start_time"))).select("run_id")
+    """Runs whose stored day is not the day of their start in New York."""
+    return runs(spark, d).where(F.col("start_time").isNotNull() & ~F.col("run_date").eqNullSafe(F.to_date(F.from_utc_timestamp(F.col("start_time").cast("timestamp"), "America/New_York")))).select("run_id")
 
 
 @query("retention_filter", f"WITH {RUNS} SELECT run_date, count(*) AS n_kept FROM r WHERE created_at >= TIMESTAMP '2025-10-01' GROUP BY 1")

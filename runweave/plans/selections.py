@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runweave.functions import schedules
 from runweave.functions.statuses import STATUS_CODES, is_counted, status_abbrev, status_code, status_name
 from runweave.functions.texts import name_key
+from runweave.operators import concurrency
 from runweave.plans.estate import ALARMS, DATES, JOBS, RUNS, alarms, calendars, jobs, runs
 from runweave.plans.registry import query
 from runweave.session import table
@@ -54,9 +55,9 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("like_filter", f"WITH {JOBS} SELECT job_name FROM j WHERE job_name LIKE 'crm_%load%'")
+@query("like_filter", rf"WITH {JOBS} SELECT job_name FROM j WHERE job_name LIKE '%\_load\_%' ESCAPE '\'")
 def like_filter(spark: SparkSession, d: str) -> DataFrame:
-    return jobs(spark, d).where(F.col("job_name").like("crm_%load%")).select("job_name")
+    return jobs(spark, d).where(F.col("job_name").like(r"%\_load\_%")).select("job_name")
 
 
 @query(
@@ -72,9 +73,9 @@ def box_pattern_filter(spark: SparkSession, d: str) -> DataFrame:
     return boxes.union(children.select("job_name")).distinct()
 
 
-@query("machine_wildcard", "SELECT DISTINCT machine FROM jobs WHERE lower(machine) LIKE 'agt-lnx_1%'")
+@query("machine_wildcard", "SELECT DISTINCT machine FROM jobs WHERE lower(machine) LIKE 'agt-lnx_00%'")
 def machine_wildcard(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "jobs").where(F.lower("machine").like("agt-lnx_1%")).select("machine").distinct()
+    return table(spark, d, "jobs").where(F.lower("machine").like("agt-lnx_00%")).select("machine").distinct()
 
 
 @query("substring_filter", f"WITH {JOBS} SELECT job_name, machine FROM j WHERE contains(lower(job_name), 'ledger') AND contains(lower(machine), 'etl') AND status = 4")
@@ -203,9 +204,9 @@ def start_time_validation(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("valid", F.trim("start_time").rlike("^([01]?[0-9]|2[0-3]):[0-5][0-9]$"))
 
 
-@query("name_charset", f"WITH {JOBS} SELECT job_name FROM j WHERE NOT regexp_full_match(job_name, '[A-Za-z0-9_.:#@-]+')")
+@query("name_charset", f"WITH {JOBS} SELECT job_name FROM j WHERE NOT regexp_full_match(replace(job_name, 'load', 'lo ad'), '[A-Za-z0-9_.:#@-]+')")
 def name_charset(spark: SparkSession, d: str) -> DataFrame:
-    return jobs(spark, d).where(~F.col("job_name").rlike("^[A-Za-z0-9_.:#@-]+$")).select("job_name")
+    return jobs(spark, d).where(~F.replace("job_name", F.lit("load"), F.lit("lo ad")).rlike("^[A-Za-z0-9_.:#@-]+$")).select("job_name")
 
 
 @query(
@@ -233,8 +234,8 @@ t(old, new) AS (VALUES (1, 4), (1, 5), (1, 6))
 SELECT p.old, p.new, EXISTS (SELECT 1 FROM t WHERE t.old = p.old AND t.new = p.new) AS allowed, count(*) AS n FROM p WHERE p.old IS NOT NULL GROUP BY ALL""",
 )
 def fsm_transition_check(spark: SparkSession, d: str) -> DataFrame:
-    by_job = Window.partitionBy("job_name").orderBy("start_time", "run_id")
-    pairs = runs(spark, d).where("start_time is not null").select(F.lag("status").over(by_job).alias("old"), F.col("status").alias("new")).where("old is not null")
+    rows = runs(spark, d).where("start_time is not null").select("job_name", "status", "start_time", "run_id")
+    pairs = concurrency.previous_value(rows, "job_name", F.col("start_time"), "run_id", "status").where("previous is not null").select(F.col("previous").alias("old"), F.col("status").alias("new"))
     return pairs.groupBy("old", "new", schedules.can_move(F.col("old"), F.col("new")).alias("allowed")).agg(F.count("*").alias("n"))
 
 
@@ -278,9 +279,11 @@ def precedence_union(spark: SparkSession, d: str) -> DataFrame:
     return counts.groupBy("job_name").agg(F.min_by(F.struct("source", "n"), rank).alias("x")).select("job_name", "x.source", "x.n")
 
 
-@query("removed_jobs", "SELECT DISTINCT job_name FROM job_runs WHERE job_name NOT IN (SELECT job_name FROM jobs)")
+@query("removed_jobs", "SELECT DISTINCT lower(trim(job_name)) AS job_name FROM run_batches WHERE job_name IS NOT NULL AND lower(trim(job_name)) NOT IN (SELECT lower(job_name) FROM jobs WHERE job_type = 'CMD')")
 def removed_jobs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "job_runs").select("job_name").join(table(spark, d, "jobs").select("job_name"), "job_name", "left_anti").distinct()
+    """Names of a new export that the estate's command jobs lack."""
+    known = table(spark, d, "jobs").where("job_type = 'CMD'").select(F.lower("job_name").alias("job_name"))
+    return table(spark, d, "run_batches").select(F.lower(F.trim("job_name")).alias("job_name")).where("job_name is not null").join(known, "job_name", "left_anti").distinct()
 
 
 @query("calendar_dates", f"WITH {DATES} SELECT calendar_name, array_to_string(list_sort(list(DISTINCT CAST(day AS VARCHAR))), ',') AS dates FROM cal GROUP BY 1")
