@@ -91,3 +91,17 @@ def can_move(old: Column, new: Column) -> Column:
 def status_of_exit(code: Column, most: Column) -> Column:
     """SUCCESS up to the greatest exit code that counts as success (0 without one), else FAILURE."""
     return F.when(code <= F.coalesce(most, F.lit(0)), STATUS_CODES["SUCCESS"]).otherwise(STATUS_CODES["FAILURE"])
+
+
+def must_times(text: Column) -> Column:
+    """Array of (minute, after): times of the day, or minutes after a start, of a list of H:MM or +N; anything else is left out."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(F.regexp_replace(x, "\"", "")))
+    both = F.transform(parts, lambda x: F.struct(minutes_of(x).alias("minute"), F.when(x.startswith("+"), F.substring(x, 2, 9).try_cast("int")).alias("after")))
+    return F.filter(both, lambda x: x["minute"].isNotNull() | x["after"].isNotNull())
+
+
+def deadline_passed(text: Column, starts: Column, at: Column) -> Column:
+    """Whether some time of a must-times list has passed: of the day, or so many minutes after the preceding start."""
+    now = F.hour(at) * 60 + F.minute(at)
+    due = preceding_start(starts, at)
+    return F.exists(must_times(text), lambda x: F.coalesce(now >= x["minute"], F.lit(False)) | F.coalesce(now >= due + x["after"], F.lit(False)))

@@ -221,3 +221,11 @@ def loaded(lines: DataFrame, imports: DataFrame) -> DataFrame:
         F.col("exit_code").try_cast("int").alias("exit_code"), text("machine").alias("machine"),
         F.coalesce(F.col("attempt").try_cast("int"), F.lit(0)).alias("retry_count"), text("run_id").alias("run_ref"),
     )
+
+
+def refused(imports: DataFrame) -> DataFrame:
+    """(import_id, column_name): columns of each file's header that are never stored; loaded() leaves them out by taking only canonical ones."""
+    delimiter = F.coalesce(F.try_element_at(literal_map(DELIMITERS), F.col("file_format")), F.lit(","))
+    names = F.transform(split_quoted(F.col("header_line"), F.col("_d"))[0], lambda x: F.regexp_replace(F.lower(strip(x)), r"[\s-]+", "_"))
+    rows = imports.where("header_line is not null").select("import_id", "header_line", delimiter.alias("_d"))
+    return rows.select("import_id", F.explode(F.array_distinct(names)).alias("column_name")).where(F.col("column_name").isin(*REFUSED))

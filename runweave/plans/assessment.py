@@ -45,7 +45,7 @@ _COLUMNS = {
     "std_out_file": "CASE k % 6 WHEN 2 THEN '/var/log/x.out' WHEN 3 THEN 'logs/x.out' END", "std_err_file": "CASE k % 7 WHEN 2 THEN '/var/log/x.err' WHEN 3 THEN 'x.err' END",
     "send_notification": "k % 12 = 5", "notification_address": "CASE WHEN k % 8 = 3 THEN 'ops@x.org' END",
     "risk": "CASE WHEN job_type = 'BOX' THEN 'NO_DATA' ELSE CASE k % 13 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' WHEN 2 THEN 'LOW' WHEN 3 THEN 'NO_DATA' ELSE 'NONE' END END",
-    "status": "CASE k % 11 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 5 WHEN 7 THEN 6 WHEN 8 THEN 7 WHEN 9 THEN 11 ELSE 8 END",
+    "status": "CASE k % 11 WHEN 0 THEN 8 WHEN 1 THEN 9 WHEN 2 THEN 3 WHEN 3 THEN 1 WHEN 4 THEN 4 WHEN 5 THEN 4 WHEN 6 THEN 5 WHEN 7 THEN 6 WHEN 8 THEN 7 WHEN 9 THEN CASE WHEN k % 2 = 0 THEN 5 ELSE 11 END ELSE 8 END",
 }
 JX = CONDITIONS + ", jx AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in _COLUMNS.items()) + " FROM jc)"
 _REFS = """e AS (SELECT DISTINCT job_name AS job, dep FROM (SELECT job_name, unnest(regexp_extract_all(condition, '[a-z]\\((job_[0-9]+)[,) ]', 1)) AS dep FROM jx))"""
@@ -212,13 +212,19 @@ def effort_overhead(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("box_effort_breakdown", f"""{_SIZED} SELECT coalesce(box_name, '(top-level)') AS box, count(*) AS job_count, CAST(sum({_HOURS_SQL}) AS BIGINT) AS effort_h, {", ".join(f"count(*) FILTER (size = '{s}') AS size_{s.lower()}" for s in _HOURS)},
-{", ".join(f"count(*) FILTER (risk = '{r}') AS risk_{r.lower()}" for r in _RISKS)}, coalesce(string_agg(job_name, ',' ORDER BY job_name) FILTER (risk = 'HIGH'), '') AS high_risk_jobs FROM z GROUP BY 1""")
+{", ".join(f"count(*) FILTER (risk = '{r}') AS risk_{r.lower()}" for r in _RISKS)} FROM z GROUP BY 1""")
 def box_effort_breakdown(spark: SparkSession, d: str) -> DataFrame:
-    """Effort of each box by size and risk; jobs at high risk by name."""
+    """Effort of each box by size and risk."""
     rows = sized(spark, d).groupBy(F.coalesce("box_name", F.lit("(top-level)")).alias("box"))
     out = [F.count("*").alias("job_count"), F.sum(_hours()).cast("long").alias("effort_h"), *[F.count_if(F.col("size") == s).alias(f"size_{s.lower()}") for s in _HOURS]]
     out += [F.count_if(F.col("risk") == r).alias(f"risk_{r.lower()}") for r in _RISKS]
-    return rows.agg(*out, F.array_join(F.sort_array(F.collect_list(F.when(F.col("risk") == "HIGH", F.col("job_name")))), ",").alias("high_risk_jobs"))
+    return rows.agg(*out)
+
+
+@query("high_risk_jobs", f"WITH {JX} SELECT coalesce(box_name, '(top-level)') AS box, job_name FROM jx WHERE risk = 'HIGH'")
+def high_risk_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs at high risk with their box; a row each, as a box may hold very many."""
+    return estate(spark, d).where("risk = 'HIGH'").select(F.coalesce("box_name", F.lit("(top-level)")).alias("box"), "job_name")
 
 
 # Gaps in the order in which they are named, with their severity.
@@ -394,13 +400,13 @@ def cross_box_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return cross_box(estate(spark, d))
 
 
-@query("machine_job_lists", f"WITH {JX} SELECT machine, count(*) AS n_jobs, string_agg(job_name, ',' ORDER BY job_name) AS jobs, {_BUCKET.format('count(*)')} AS score FROM jx WHERE job_type = 'CMD' AND machine IS NOT NULL GROUP BY 1")
-def machine_job_lists(spark: SparkSession, d: str) -> DataFrame:
-    """Jobs of each machine by name, with a score of their concentration."""
+@query("machine_jobs", f"WITH {JX}, n AS (SELECT machine, count(*) AS n_jobs FROM jx WHERE job_type = 'CMD' AND machine IS NOT NULL GROUP BY 1) SELECT jx.machine, jx.job_name, n.n_jobs, {_BUCKET.format('n.n_jobs')} AS score FROM jx JOIN n USING (machine) WHERE job_type = 'CMD'")
+def machine_jobs(spark: SparkSession, d: str) -> DataFrame:
+    """Jobs of each machine with their number and a score of their concentration; a row each, as a machine may hold very many."""
     n = F.col("n_jobs")
+    rows = estate(spark, d).where("job_type = 'CMD' and machine is not null").select("machine", "job_name")
     score = F.when(n > 40, "XL").when(n > 20, "L").when(n > 10, "M").when(n > 5, "S").otherwise("XS")
-    rows = estate(spark, d).where("job_type = 'CMD' and machine is not null").groupBy("machine")
-    return rows.agg(F.count("*").alias("n_jobs"), F.array_join(F.sort_array(F.collect_list("job_name")), ",").alias("jobs")).withColumn("score", score)
+    return rows.join(rows.groupBy("machine").agg(F.count("*").alias("n_jobs")), "machine").withColumn("score", score)
 
 
 _REPORT = f"""{_SIZED}, {_TAGS.format('z')}, {_ROLLED.replace(_TREE, _TREE, 1)}, {_ORDER.replace(_TREE + ', ', '', 1)}, {_SIGNALLED.replace(_TREE + ', ', '', 1)},

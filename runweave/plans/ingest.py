@@ -49,13 +49,6 @@ def prometheus_status(spark: SparkSession, d: str) -> DataFrame:
     return files.prometheus(jobs(spark, d).groupBy("status").agg(F.count("*").alias("n")), "estate_jobs", "n", ["status"])
 
 
-@query("history_import_merge", """SELECT count(*) AS n_rows FROM (SELECT DISTINCT run_id FROM job_runs)""")
-def history_import_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Loading the same rows again changes nothing: an anti join on run_id, then append."""
-    have = table(spark, d, "job_runs").dropDuplicates(["run_id"]).select("run_id", "job_name")
-    return files.idempotent_append(have, have, "run_id").agg(F.count("*").alias("n_rows"))
-
-
 @query("text_scan", "SELECT DISTINCT file_path FROM ujo_jil_stanza WHERE contains(raw_text, 'payroll')")
 def text_scan(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ujo_jil_stanza").where(F.col("raw_text").contains("payroll")).select("file_path").distinct()
