@@ -90,7 +90,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_statistics": p10_statistics,
 }
+_P9 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM eval_items WHERE text IS NOT NULL),
+dg AS (SELECT doc_id, unnest([array_to_string(w[n : n + 9], ' ') FOR n IN range(1, len(w) - 8)]) AS g FROM d WHERE len(w) >= 10),
+ig AS (SELECT item_id, unnest([array_to_string(w[n : n + 9], ' ') FOR n IN range(1, len(w) - 8)]) AS g FROM i WHERE len(w) >= 10)
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)"""
 SQL: dict[str, str] = {
+    "p9_found": _P9,
     "p6_found": _P6 + "SELECT id AS batch_row_id FROM f",
     "p6_import_duplicates": _P6 + "SELECT import_id, count(*) AS n_rows_duplicate FROM f GROUP BY import_id",
 }
