@@ -11,6 +11,7 @@ from runweave.functions import strings as X
 from runweave.functions.texts import host_key, name_key
 from runweave.operators import graphs, hierarchy
 from runweave.plans.estate import CONDITIONS, JOBS, RUNS, conditions, jobs, runs
+from runweave.plans.problems import P3_BASE
 from runweave.plans.registry import query
 from runweave.session import table
 
@@ -93,12 +94,18 @@ def box_graph_edges(spark: SparkSession, d: str) -> DataFrame:
     return _edges(spark, d).join(mine, "job").join(theirs, ["dep", "box"]).select("job", "dep", "box")
 
 
-@query("box_nesting_depth")
+@query("box_nesting_depth", P3_BASE + """, y AS (SELECT DISTINCT m.node FROM m JOIN (SELECT node FROM m WHERE ancestor = node) c ON c.node = m.ancestor), n AS (SELECT node, max(distance) FILTER (ancestor <> node) AS d, count(*) FILTER (ancestor <> node) AS k FROM m GROUP BY 1),
+t AS (SELECT j.k, j.name, coalesce(CASE WHEN y.node IS NULL THEN n.d ELSE n.k END, 0) + CASE WHEN y.node IS NULL AND coalesce((SELECT p.b FROM m JOIN j p ON p.k = m.ancestor WHERE m.node = j.k ORDER BY m.distance DESC LIMIT 1), CASE WHEN n.node IS NULL THEN j.b END, '') <> '' THEN 1 ELSE 0 END AS depth
+  FROM j LEFT JOIN n ON n.node = j.k LEFT JOIN y ON y.node = j.k) SELECT name AS job_name, depth, CASE WHEN depth >= 5 THEN 'XL' WHEN depth >= 3 THEN 'L' WHEN depth >= 2 THEN 'M' WHEN depth >= 1 THEN 'S' ELSE 'XS' END AS score FROM t""")
 def box_nesting_depth(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes above each job, with a score; tested against a walk up the tree."""
-    p = hierarchy.paths(table(spark, d, "jobs").select("job_name", "box_name"), F.col("job_name"), F.col("box_name"))
-    n = F.col("depth")
-    return p.select(F.col("name").alias("job_name"), "depth", F.when(n >= 5, "XL").when(n >= 3, "L").when(n >= 2, "M").when(n >= 1, "S").otherwise("XS").alias("score"))
+    """Boxes above each job, with a score; a box that is named but doesn't exist counts as one. On and below cycles the distinct boxes above count."""
+    rows = table(spark, d, "jobs").select("job_name", "box_name")
+    p = hierarchy.paths(rows, F.col("job_name"), F.col("box_name"))
+    # a root that names a box names one that doesn't exist
+    named = rows.groupBy(name_key(F.col("job_name")).alias("_r")).agg(F.min(name_key(F.col("box_name"))).alias("_b")).where("_r is not null and _b is not null").select("_r", F.lit(1).alias("more"))
+    out = p.join(named, name_key(F.col("root")) == F.col("_r"), "left")
+    n = F.col("depth") + F.coalesce("more", F.lit(0))
+    return out.select(F.col("name").alias("job_name"), n.alias("depth"), F.when(n >= 5, "XL").when(n >= 3, "L").when(n >= 2, "M").when(n >= 1, "S").otherwise("XS").alias("score"))
 
 
 @query("box_descendants", f"""WITH RECURSIVE {CONDITIONS}, t AS (SELECT job_name AS box, job_name, 0 AS level FROM jc WHERE job_type = 'BOX' UNION ALL SELECT t.box, c.job_name, t.level + 1 FROM t JOIN jc c ON c.box_name = t.job_name WHERE t.level < 2)
