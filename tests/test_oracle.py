@@ -34,5 +34,20 @@ def test_equals_sql(spark, duck, name):
     assert rows(tuple(r) for r in df.select(*cols).collect()) == rows(want.fetchall())
 
 
+@pytest.mark.parametrize("name", sorted(set(Q) - set(S)))
+def test_others_run(spark, name):
+    assert Q[name](spark, D).count() > 0
+
+
+def test_stanzas_parsed_again_are_those_of_the_archive(spark):
+    """Where the archive has a directive that isn't garbled away, parsing its text gives the same directive and object."""
+    archive = {r["stanza_id"]: r for r in spark.read.parquet(f"{D}/ujo_jil_stanza.parquet").where("directive is not null").select("stanza_id", "directive", "object_name").collect()}
+    parsed = {}
+    for r in Q["stanza_parse"](spark, D).collect():
+        parsed.setdefault(r["stanza_id"], []).append((r["directive"], r["object_name"]))
+    same = sum((a["directive"], a["object_name"]) in parsed.get(i, ()) for i, a in archive.items())
+    assert same >= 0.98 * len(archive)
+
+
 def test_all_sql_belongs_to_queries():
     assert set(S) <= set(Q)
