@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.texts import name_key
-from runweave.session import cut
+from runweave.session import cut, together
 
 #: Nodes of a component that one task may hold.
 CO_LOCATE = 50_000
@@ -199,7 +199,7 @@ def ancestors(tree: DataFrame, parts: DataFrame | None = None, co_locate: int =
     sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
     largest = sizes.agg(F.max("n")).head()[0] or 0
     kind = "ancestor string, node string, distance int, ancestor_name string, name string"
-    walked = lambda df: df.select("component", "node", "parent", "name").repartition("component").sortWithinPartitions("component").mapInArrow(_walker(), kind)
+    walked = lambda df: together(df.select("component", "node", "parent", "name"), "component").mapInArrow(_walker(), kind)
     if largest <= co_locate:
         return walked(parts)
     sized = parts.join(sizes, "component")

@@ -306,7 +306,7 @@ def status_changes(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("previous != status").groupBy("job_name").agg(F.count("*").alias("n_changes"))
 
 
-@query("min_run_candidates", f"""WITH {JOBS}, {RUNS}, l AS (SELECT max(end_time) AS t FROM r) SELECT r.run_id FROM r JOIN j USING (job_name), l
+@query("min_run_candidates", f"""WITH {JOBS}, {RUNS}, l AS (SELECT max(end_time) AS t FROM r) SELECT r.run_id, r.job_name FROM r JOIN j USING (job_name), l
 WHERE j.term_run_time > 0 AND epoch_us(r.end_time) - epoch_us(r.start_time) < CAST(j.term_run_time AS BIGINT) * 15000000 AND r.end_time >= l.t - INTERVAL 7 DAY""")
 def min_run_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Runs of the last week that ended sooner than their job's least run time (a quarter of its limit in minutes)."""
@@ -314,7 +314,7 @@ def min_run_candidates(spark: SparkSession, d: str) -> DataFrame:
     rows = runs(spark, d).where("end_time is not null")
     last = rows.agg(F.max("end_time").alias("_t"))  # one row
     rows = rows.crossJoin(F.broadcast(last)).where(F.col("end_time") >= F.col("_t") - F.expr("interval 7 day"))
-    return rows.join(limited, "job_name").where(_US("end_time") - _US("start_time") < F.col("least")).select("run_id")
+    return rows.join(limited, "job_name").where(_US("end_time") - _US("start_time") < F.col("least")).select("run_id", "job_name")
 
 
 @query("auto_resolve", f"WITH {JOBS}, {RUNS}, {ALARMS} SELECT al.alarm_id FROM al JOIN j USING (job_name) WHERE al.cleared_at IS NULL AND al.alarm_type = 'ALARM_IF_FAIL' AND j.status = 4")
@@ -330,6 +330,21 @@ def alarm_if_fail(spark: SparkSession, d: str) -> DataFrame:
     return jobs(spark, d).where("status = 5 and alarm_if_fail").join(open_, "job_name", "left_anti").select("job_name")
 
 
+@query("alarm_if_terminated", f"WITH {JOBS}, {RUNS}, {ALARMS} SELECT job_name FROM j WHERE status = 6 AND alarm_if_fail AND job_name NOT IN (SELECT job_name FROM al WHERE cleared_at IS NULL AND alarm_type = 'ALARM_IF_TERMINATED')")
+def alarm_if_terminated(spark: SparkSession, d: str) -> DataFrame:
+    open_ = alarms(spark, d).where("cleared_at is null and alarm_type = 'ALARM_IF_TERMINATED'").select("job_name")
+    return jobs(spark, d).where("status = 6 and alarm_if_fail").join(open_, "job_name", "left_anti").select("job_name")
+
+
+@query("must_complete_alarm", f"""WITH {JOBS}, s AS (SELECT job_name, status, last_start, unnest(start_times) AS t FROM j) SELECT DISTINCT job_name FROM s WHERE status NOT IN (4, 5, 6) AND last_start IS NOT NULL
+AND CAST(split_part(t, ':', 1) AS INT) * 60 + CAST(split_part(t, ':', 2) AS INT) <= 720 GROUP BY job_name HAVING max(CAST(split_part(t, ':', 1) AS INT) * 60 + CAST(split_part(t, ':', 2) AS INT)) + 30 <= 720""")
+def must_complete_alarm(spark: SparkSession, d: str) -> DataFrame:
+    """Started jobs that aren't final half an hour after the start time before noon."""
+    at = F.lit("2025-10-15 12:00:00").cast("timestamp")
+    late = schedules.deadline_passed(F.lit("+30"), F.col("start_times"), at)
+    return jobs(spark, d).where(~F.col("status").isin(4, 5, 6) & F.col("last_start").isNotNull() & F.coalesce(late, F.lit(False))).select("job_name")
+
+
 @query("max_run_alarm", f"WITH {JOBS} SELECT job_name FROM j WHERE status = 1 AND last_start IS NOT NULL AND epoch_us(TIMESTAMP '2025-10-15 12:00:00') - epoch_us(last_start) > CAST(max_run_alarm AS BIGINT) * 60000000")
 def max_run_alarm(spark: SparkSession, d: str) -> DataFrame:
     now = F.unix_micros(F.lit("2025-10-15 12:00:00").cast("timestamp"))

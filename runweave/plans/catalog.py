@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runweave.plans import aggregates, analytics, assessment, boxes, checks, ingest, mutations, problems, rollups, selections, streams  # noqa: F401
+from runweave.plans import aggregates, analytics, assessment, boxes, checks, ingest, mutations, operations, problems, rollups, selections, streams  # noqa: F401
 from runweave.plans.registry import QUERIES, SQL
 
 

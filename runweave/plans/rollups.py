@@ -37,7 +37,7 @@ def machine_load(spark: SparkSession, d: str) -> DataFrame:
     return per.select("machine", "active", F.greatest(F.lit(10) - n, F.lit(0)).alias("available"), (n >= 10).alias("saturated"))
 
 
-_RULES = ("alarm_if_fail", "max_run_alarm", "must_start_alarm", "heartbeat_alarm")
+_RULES = ("alarm_if_fail", "alarm_if_terminated", "max_run_alarm", "min_run_candidates", "must_start_alarm", "must_complete_alarm", "heartbeat_alarm")
 
 
 @query("alarm_rules", " UNION ALL ".join(f"SELECT job_name, '{r}' AS rule FROM ({SQL[r]}) {r}_rows" for r in _RULES))

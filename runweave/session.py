@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -79,6 +80,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def together(df: DataFrame, key: str) -> DataFrame:
+    """df with the rows of each key in one partition and next to each other, for operators that walk over partitions.
+
+    Rows are distributed by a hash of the key, not by the key: a repartition by a column that the plan already
+    distributes by is left out, and adaptive execution may then undo the distribution below, as nothing asks for it.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table; Parquet prunes columns and takes pushed filters."""
     ship(spark)
