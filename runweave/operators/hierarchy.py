@@ -8,8 +8,9 @@ each round doubles the distance that a node has looked up the tree, and the
 rounds follow the logarithm of the depth. What never reaches a root leads into
 a cycle; its component is named by the least node of the cycle.
 
-A component of up to `co_locate` nodes goes whole to one task and is walked
-there. A larger one may hold a third of all rows and must not: its ancestors
+A component of up to `co_locate` nodes, and of up to PAIRS ancestors of all its
+nodes together, goes whole to one task and is walked there. A larger one may hold
+a third of all rows, or be a chain whose result is far larger than itself, and must not: its ancestors
 come from joining ancestor lists of doubling length (pairs at distance d + 2^k
 from pairs at distance d), which spreads over all tasks and does work in
 proportion to the result. Both ways give the same rows.
@@ -28,6 +29,8 @@ from runweave.session import cut, together
 
 #: Nodes of a component that one task may hold.
 CO_LOCATE = 50_000
+#: Rows that the walk of one component may give: the depths of its nodes added up.
+PAIRS = 5_000_000
 
 
 def edges(df: DataFrame, child: Column, parent: Column) -> DataFrame:
@@ -189,14 +192,17 @@ def _by_doubling(large: DataFrame) -> DataFrame:
     return pairs.select("ancestor", "node", "distance").unionByName(wrapped.select("ancestor", "node", "distance")).groupBy("ancestor", "node").agg(F.min("distance").alias("distance"))
 
 
-def ancestors(tree: DataFrame, parts: DataFrame | None = None, co_locate: int = CO_LOCATE) -> DataFrame:
+def ancestors(tree: DataFrame, parts: DataFrame | None = None, co_locate: int = CO_LOCATE, pairs: int = PAIRS) -> DataFrame:
     """(ancestor, node, distance, ancestor_name, name): each node with each node above it, at the smallest distance.
 
     A node on a cycle has itself as an ancestor at the cycle's length. Roots
     have no rows as node. An empty table gives no rows.
     """
     parts = components(tree) if parts is None else parts
-    sizes = parts.groupBy("component").agg(F.count("*").alias("n"))
+    # depths are known but on and below cycles, where every node may have all others above it
+    nodes = F.count("*")
+    sizes = parts.groupBy("component").agg(nodes.alias("n"), (F.sum(F.coalesce("depth", F.lit(0))) + F.count_if(F.col("depth").isNull()).cast("double") * nodes).alias("work"))
+    sizes = sizes.select("component", F.greatest("n", F.when(F.col("work") > pairs, co_locate + 1).otherwise(0)).alias("n"))
     largest = sizes.agg(F.max("n")).head()[0] or 0
     kind = "ancestor string, node string, distance int, ancestor_name string, name string"
     walked = lambda df: together(df.select("component", "node", "parent", "name"), "component").mapInArrow(_walker(), kind)

@@ -67,3 +67,12 @@ def test_closure_of_seeds(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], "job string, dep string")
     got = {r[0] for r in graphs.closure(spark.createDataFrame([("x",)], "job string"), e).collect()}
     assert got == {"a", "b", "c"}
+
+
+def test_chains_with_more_ancestors_than_a_task_may_give(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, None, None) for i in range(60)] + [(f"r{i}", f"r{(i + 1) % 30}", None, None) for i in range(30)] + [("a", None, None, None), ("b", "a", None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    tree = hierarchy.cut(hierarchy.edges(df, F.col("job_name"), F.col("box_name")))
+    for pairs in (10, 1000, 5_000_000):
+        got = {tuple(r) for r in hierarchy.ancestors(tree, pairs=pairs).select("ancestor_name", "name", "distance").collect()}
+        assert got == closure(rows)
