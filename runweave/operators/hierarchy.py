@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runweave.functions.texts import name_key
+from runweave.operators.joins import lookup
 from runweave.session import cut, together
 
 #: Nodes of a component that one task may hold.
@@ -42,26 +43,43 @@ def edges(df: DataFrame, child: Column, parent: Column) -> DataFrame:
     """
     rows = df.select(name_key(child).alias("node"), child.alias("name"), name_key(parent).alias("parent")).where("node is not null")
     rows = rows.groupBy("node").agg(F.min("name").alias("name"), F.min("parent").alias("parent"))
-    real = rows.select(F.col("node").alias("parent"), F.lit(True).alias("_real"))
-    return rows.join(real, "parent", "left").select("node", "name", F.when(F.col("_real"), F.col("parent")).alias("parent"))
+    # one parent may have a third of all nodes below it
+    used = rows.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n"))
+    real = cut(used.join(rows.select(F.col("node").alias("parent")), "parent").withColumn("_real", F.lit(True)))
+    return lookup(rows, real, {"parent": "parent"}, "n", ["_real"], nulls=False).select("node", "name", F.when(F.col("_real"), F.col("parent")).alias("parent"))
 
 
 def components(tree: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, name, parent, component, depth): depth is the distance from the root, NULL below or on a cycle.
 
-    component is the root's node, or the least node of the cycle. tree is read
-    several times and should be cut.
+    component is the root's node, or the least node of the cycle. Pointers are
+    doubled for nodes that have others below them, by their keys only; the rest
+    takes over what its parent found. tree is read several times and should be cut.
     """
-    state = tree.select(
-        "node", "name", "parent", F.coalesce("parent", "node").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"),
-        F.col("parent").isNull().alias("done"), F.coalesce("parent", "node").alias("least"),
+    below = tree.where("parent is not null").groupBy("parent").agg(F.count("*").alias("n"))
+    inner = tree.join(below.select(F.col("parent").alias("node")), "node", "left_semi").select("node", "parent")
+    found = _found(inner, max_rounds)
+    facts = cut(found.join(below.select(F.col("parent").alias("node"), "n"), "node"))
+    boxes = tree.join(facts.select("node", "component", "depth"), "node").select("node", "name", "parent", "component", "depth")
+    leaves = lookup(tree.join(facts.select("node"), "node", "left_anti"), facts, {"parent": "node"}, "n", ["component", "depth"], nulls=False)
+    depth = F.when(F.col("parent").isNull(), F.lit(0).cast("long")).otherwise(F.col("depth") + 1)
+    return boxes.unionByName(leaves.select("node", "name", "parent", F.coalesce("component", "node").alias("component"), depth.alias("depth")))
+
+
+def _found(tree: DataFrame, max_rounds: int) -> DataFrame:
+    """(node, component, depth) of each node of a forest that is closed upwards (node, parent)."""
+    state = cut(
+        tree.select(
+            "node", F.coalesce("parent", "node").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("hops"),
+            F.col("parent").isNull().alias("done"), F.coalesce("parent", "node").alias("least"),
+        )
     )
     left, seen, rounds = None, None, 0
     while left != 0 and (left is None or left != seen) and rounds < max_rounds:
         # two steps a round: pointers reach four times as far
         state = cut(_doubled(_doubled(state)))
         seen, left, rounds = left, state.where("not done").count(), rounds + 2
-    finished = state.where("done").select("node", "name", "parent", F.col("at").alias("component"), F.col("hops").alias("depth"))
+    finished = state.where("done").select("node", F.col("at").alias("component"), F.col("hops").alias("depth"))
     if not left:
         return finished
     # the rest leads into cycles: look on until every node has gone into its cycle and once round it
@@ -70,7 +88,7 @@ def components(tree: DataFrame, max_rounds: int = 64) -> DataFrame:
         loop, rounds = cut(_doubled(_doubled(loop))), rounds + 2
     # every pointer now stands on a cycle, and a node of a cycle has seen all of it
     named = loop.select("at").distinct().join(loop.select(F.col("node").alias("at"), F.col("least").alias("component")), "at")
-    cyclic = loop.join(named, "at").select("node", "name", "parent", "component", F.lit(None).cast("long").alias("depth"))
+    cyclic = loop.join(named, "at").select("node", "component", F.lit(None).cast("long").alias("depth"))
     return finished.unionByName(cyclic)
 
 

@@ -77,6 +77,8 @@ def test_lookup_of_hot_and_cold_keys(spark):
     for hot in (0.0, 0.1, 1.0):
         out = lookup(rows, facts, {"k": "fk", "j": "fj"}, "n", ["v"], hot)
         assert out.columns == ["k", "j", "i", "v"] and {(r["k"], r["v"]) for r in out.collect()} == {("hot", "h"), (None, "n"), ("a", "a"), ("b", None)} and out.count() == 503
+    strict = {(r["k"], r["v"]) for r in lookup(rows, facts, {"k": "fk", "j": "fj"}, "n", ["v"], 1.0, nulls=False).collect()}
+    assert strict == {("hot", "h"), (None, None), ("a", "a"), ("b", None)}
     assert lookup(rows.limit(0), facts.limit(0), {"k": "fk", "j": "fj"}, "n", ["v"]).count() == 0
 
 
