@@ -26,6 +26,8 @@ def lookup(rows: DataFrame, facts: DataFrame, on: dict[str, str], n: str, values
     rows = rows.drop(*[c for c in rows.columns if c.startswith("_fact_") or c in values])
     whole = facts.agg(F.sum(n)).head()[0] or 0
     keyed = facts.select(F.col(n).alias("_fact_n"), *[F.col(k).alias(f"_fact_{k}") for k in on.values()], *values)
+    if not nulls:
+        keyed = keyed.dropna(subset=[f"_fact_{k}" for k in on.values()])
     same = lambda df, part: reduce(lambda a, b: a & b, [df[c].eqNullSafe(part[f"_fact_{k}"]) for c, k in on.items()])
     keys = [f"_fact_{k}" for k in on.values()]
     large = keyed.where(F.col("_fact_n") > whole * hot).withColumnsRenamed({v: f"_fact_{v}_hot" for v in values})
