@@ -143,11 +143,12 @@ def stored(spark: SparkSession, path: str, batches: DataFrame, ranges_a_folder:
     """The stored table as far as the batches' distances reach; other folders aren't read.
 
     The days that batches reach come to the driver; they are as many as folders at most.
+    A key may have a row from each time something was appended: a probe is near if it is near
+    any of them, so they needn't be put together.
     """
     near = F.explode(F.array(*[F.expr(f"(range + {i}) div {int(ranges_a_folder)}") for i in (-1, 1)]))
     days = [r["day"] for r in _keyed(batches).select(near.alias("day")).distinct().collect()]
-    table = spark.read.schema(_STORED).parquet(path).where(F.col("day").isin(days) if days else F.lit(False))
-    return table.groupBy(*_KEY).agg(F.min("least").alias("least"), F.max("greatest").alias("greatest"))
+    return spark.read.schema(_STORED).parquet(path).where(F.col("day").isin(days) if days else F.lit(False)).drop("day")
 
 
 def accepted(spark: SparkSession, source: str) -> str:
