@@ -76,3 +76,41 @@ def test_chains_with_more_ancestors_than_a_task_may_give(spark):
     for pairs in (10, 1000, 5_000_000):
         got = {tuple(r) for r in hierarchy.ancestors(tree, pairs=pairs).select("ancestor_name", "name", "distance").collect()}
         assert got == closure(rows)
+
+
+@pytest.mark.parametrize("inner", [200_000, 2])
+def test_inner_nodes_in_one_task_or_in_rounds(spark, inner):
+    rnd = random.Random(inner)
+    rows = [(f"J{i}", f" j{rnd.randrange(i)}\t" if i and rnd.random() < 0.8 else "nowhere", None, None) for i in range(80)]
+    rows += [(f"c{i}", f"C{(i + 1) % 5}", None, None) for i in range(5)] + [("t1", "c2", None, None), ("t2", "t1", None, None), ("self", "SELF", None, None), ("lone", None, None, None)]
+    rows += [(f"deep{i}", f"deep{i - 1}" if i else "", None, None) for i in range(40)] + [(None, "J1", None, None), ("J5", rows[5][1], None, None)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    tree = hierarchy.cut(hierarchy.edges(df, F.col("job_name"), F.col("box_name")))
+    facts = hierarchy.inner_facts(tree, inner)
+    up = {r["node"]: r["parent"] for r in tree.collect()}
+
+    def above(node):
+        seen = []
+        while node in up and node not in seen:
+            seen.append(node)
+            node = up[node]
+        return (min(seen[seen.index(node) :]), None) if node in seen else (seen[-1], len(seen) - 1)
+
+    got = {r["node"]: (r["component"], r["depth"]) for r in hierarchy.components(tree, facts).collect()}
+    assert got == {k: above(k) for k in up}
+    assert {r["node"]: r["n"] for r in facts.collect()} == {k: n for k in up if (n := list(up.values()).count(k))}
+    for limit in (50_000, 3):
+        got = {tuple(r) for r in hierarchy.named_ancestors(df, F.col("job_name"), F.col("box_name"), limit, inner).collect()}
+        assert got == closure(rows)
+
+
+def test_small_trees_take_few_jobs(spark):
+    """Plans of many jobs and checkpoints filled the driver's memory."""
+    df = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i % 40 else None, None, None) for i in range(200)], SCHEMA)
+    spark.sparkContext.setJobGroup("few-jobs", "")
+    try:
+        assert len(hierarchy.named_ancestors(df, F.col("job_name"), F.col("box_name")).collect()) == 5 * 40 * 39 // 2
+        jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("few-jobs")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < len(jobs) <= 25
