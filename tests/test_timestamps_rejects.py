@@ -69,6 +69,32 @@ def test_conventions_are_priors_of_the_same_estimate(spark):
     assert mixed == [("slash_mdy", 1.0), (None, None), ("iso", 1.0), (None, None)]
 
 
+def test_estimates_are_made_only_where_they_choose(spark):
+    rows = [(s, t, "UTC") for s, t in [("eu", "27/03/2025 10:00"), ("eu", "26/03/2025 10:00"), ("eu", "03/04/2025 10:00"), ("us", "03/27/2025 10:00"), ("us", "03/04/2025 10:00"), (None, "x")]]
+    df = spark.createDataFrame(rows, "src string, t string, z string")
+
+    def found(policy):
+        spark.sparkContext.setJobGroup(f"p4-{id(policy)}", "")
+        try:
+            out = timestamps.normalise(df, "src", "t", "z", policy)
+            ran = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"p4-{id(policy)}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return ran, {(r["src"], r["t"]): (r["outcome"], r["reading"], r["posterior"], r["utc_us"]) for r in out.collect()}
+
+    ran, fixed = found(timestamps.FIXED_CONVENTIONS)
+    assert ran == 0
+    fourth = ("time", "slash_mdy", 1.0, us(2025, 3, 4, 10))
+    assert fixed["eu", "03/04/2025 10:00"] == fixed["us", "03/04/2025 10:00"] == fourth
+    assert fixed["eu", "27/03/2025 10:00"] == fixed[None, "x"] == ("no_time", None, None, None)
+    ran, still = found(timestamps.Policy(priors={"slash_dmy": 0.0, "dot_mdy": 0.0}, rounds=0))
+    assert ran == 0 and still == fixed
+    # two open readings: the rounds choose by source
+    ran, seen = found(timestamps.Policy(decide=0.6))
+    assert ran > 0 and seen["eu", "03/04/2025 10:00"][:2] == ("time", "slash_dmy") and seen["us", "03/04/2025 10:00"][:2] == ("time", "slash_mdy")
+    assert found(timestamps.Policy(decide=0.6, rounds=0))[1]["eu", "03/04/2025 10:00"][0] == "ambiguous"
+
+
 def test_lookup_of_hot_and_cold_keys(spark):
     from runweave.operators.joins import lookup
 
